@@ -25,9 +25,9 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, table
+from .common import bound_batches, table, with_field
 
 NEVER = 1 << 60
 #: Stands for the end of a word in the scan; no byte's symbol.
@@ -272,7 +272,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFram
             yield batch.append_column("decoded", pa.array(out, pa.string()))
 
     kept = df.drop("decoded")
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(run, with_field(kept.schema, "decoded", T.StringType()))
 
 
 def word_vocabulary() -> str:

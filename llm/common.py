@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -69,6 +70,11 @@ class Scratch:
         self.paths = self.paths[len(gone) :]
 
 
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """A new schema with one more field."""
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def crc_mod(column, modulus: int):
     """crc32 of the column's text form, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
