@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, crc_mod, table, with_field
+from .common import Scratch, bound_batches, crc_mod, table, with_field
 
 SIZES = (5, 8)
 BITS = 20
 #: Bound of the labelled rows that the classifier is fitted on.
 MAX_LABELLED = 12_000
 #: Tasks that turn the sample into n-grams.
-PARTS = 24
+PARTS = 8
 SMOOTH = 1.0
 #: N-grams in fewer texts of the sample say nothing reliable.
 MIN_TEXTS = 8
@@ -57,33 +57,22 @@ def distinct(f: np.ndarray, place: np.ndarray) -> np.ndarray:
     return f[place[f] == at]
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weight of each bucket and bias, from the distinct buckets of each text."""
+def log_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Naive Bayes log ratio of smoothed rates among toxic and other texts."""
+    return np.log((pos + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((neg + SMOOTH) / (n_neg + 2 * SMOOTH))
+
+
+def fit(samples: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each feature and bias: logistic regression on the ratios of what a text has."""
     y = np.asarray(labels, np.float64)
-    size = 1 << bits
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1.0)
-        return np.zeros(size, np.float32), float(np.log(rate / (1 - rate)))
-    counts = np.zeros((2, size))
-    for f, v in zip(samples, y):
-        counts[int(v), f] += 1
-    total = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
-    rate = (counts + SMOOTH) / (total[:, None] + 2 * SMOOTH)
-    ratio = np.log(rate[1] / rate[0])
-    chosen = np.flatnonzero((counts.sum(axis=0) >= MIN_TEXTS) & (np.abs(ratio) >= MIN_RATIO))
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
-    rows, cols = [], []
-    for i, f in enumerate(samples):
-        c = place[f]
-        c = c[c >= 0]
-        rows.append(np.full(len(c), i, np.int32))
-        cols.append(c)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    scale = ratio[chosen]
-    w, b = np.zeros(len(chosen)), float(np.log(total[1] / total[0]))
+        return np.zeros(len(ratio)), float(np.log(rate / (1 - rate)))
+    rows = np.repeat(np.arange(len(samples), dtype=np.int32), [len(f) for f in samples])
+    cols = np.concatenate(samples)
+    w, b = np.zeros(len(ratio)), float(np.log(y.mean() / (1 - y.mean())))
     m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    value = scale[cols]
+    value = ratio[cols]
     for step in range(1, STEPS + 1):
         z = np.bincount(rows, w[cols] * value, len(y)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
@@ -94,32 +83,66 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tupl
         fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
         w -= 0.02 * (m1 / fix1) / (np.sqrt(m2 / fix2) + 1e-9)
         b -= 0.02 * (mb1 / fix1) / (np.sqrt(mb2 / fix2) + 1e-9)
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = w * scale
-    return weights, float(b)
+    return w * ratio, float(b)
 
 
-def _featurize(batches):
-    place = np.zeros(1 << BITS, np.int32)
+def _count(batches):
+    """Of each bucket, how many toxic and other texts of a task hold it."""
+    held, place = np.zeros((2, 1 << BITS), np.int32), np.zeros(1 << BITS, np.int32)
     for batch in batches:
-        out = [distinct(features(t or ""), place) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "f"])
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            held[int(toxic > 0), distinct(features(text or ""), place)] += 1
+    found = np.flatnonzero(held.any(axis=0))
+    for k in range(0, len(found), 100_000):
+        part = found[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[1, part], pa.int32()), pa.array(held[0, part], pa.int32())], ["bucket", "pos", "neg"])
+
+
+def _chosen_features(place_of: np.ndarray):
+    def run(batches):
+        place = np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            out = []
+            for t in batch.column("text").to_pylist():
+                f = place_of[distinct(features(t or ""), place)]
+                out.append(f[f >= 0])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], ["toxic", "f"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """Fit on at most ``max_labelled`` rows of ``labels`` (doc_id, toxic), by hash of the id.
 
     Labels of one id that differ count as toxic; null ids and labels are not used.
+    Returns the weight of each bucket and the bias.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark, "toxic")
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled rows of twelve bytes: safe to broadcast at any input size.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(max_labelled)
-    got = sample.select("toxic", "text").repartition(PARTS).mapInArrow(_featurize, "toxic int, f array<int>").toArrow()
+    sample = scratch.keep(sample.select("toxic", "text").repartition(PARTS))
+    n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_pos, n_neg = n.get(True, 0), n.get(False, 0)
+    sums = sample.mapInArrow(_count, "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ratio = F.log((F.col("pos") + SMOOTH) / (n_pos + 2 * SMOOTH)) - F.log((F.col("neg") + SMOOTH) / (n_neg + 2 * SMOOTH))
+    # One row for a bucket at most, and few of them tell.
+    telling = sums.where((F.col("pos") + F.col("neg") >= MIN_TEXTS) & (F.abs(ratio) >= MIN_RATIO)).orderBy("bucket").toArrow()
+    bucket = telling.column("bucket").to_numpy()
+    scale = log_ratio(telling.column("pos").to_numpy(), telling.column("neg").to_numpy(), n_pos, n_neg)
+    place_of = np.full(1 << BITS, -1, np.int32)
+    place_of[bucket] = np.arange(len(bucket), dtype=np.int32)
+    got = sample.mapInArrow(_chosen_features(place_of), "toxic int, f array<int>").toArrow()
+    scratch.drop()
     f = got.column("f").combine_chunks()
     offsets, values = f.offsets.to_numpy(), f.values.to_numpy()
-    return fit([values[a:b] for a, b in zip(offsets, offsets[1:])], got.column("toxic").to_numpy())
+    w, bias = fit([values[a:b] for a, b in zip(offsets, offsets[1:])], got.column("toxic").to_numpy() > 0, scale)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[bucket] = w
+    return weights, bias
 
 
 def score_text(text: str, weights: np.ndarray, bias: float) -> float:
