@@ -7,6 +7,7 @@ import corpus_pipeline
 from . import line_dedup, url_filter
 from .ann import op7_neighbours
 from .bpe import op4_bpe
+from .html_text import op1_main_text
 from .language_id import op2_language_id
 from .line_dedup import op10_line_dedup
 from .mixing import op6_mixing
@@ -16,6 +17,7 @@ from .toxicity import op8_toxicity
 from .url_filter import op5_url_filter
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_bpe": op4_bpe,
