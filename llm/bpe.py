@@ -39,6 +39,9 @@ TABLE_ARCS = 1_000_000
 #: What the tokenizer's patterns call white space (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: Letters of the Unicode version that the tokenizer's patterns know; later blocks are none.
+LETTER = "[\\p{L}--[\\U000323B0-\\U0010FFFF]]"
+
 
 class Automaton:
     """Token automaton of a merge list over token strings."""
@@ -167,7 +170,7 @@ class Tokenizer:
         self.bytes = byte_symbols()
         white = f"[{WHITE}]"
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.find = regex.compile(split.replace("\\s", WHITE)).findall
+        self.find = regex.compile(split.replace("\\s", WHITE).replace("\\p{L}", LETTER), regex.V1).findall
         self.white = regex.compile(f"{white}+")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split
         self.control = regex.compile("[\x1c-\x1f]").search  # str.split takes these for white space
