@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows in one Arrow batch; with whole texts in memory this bounds a Python worker.
-MAX_BATCH_ROWS = 1000
+MAX_BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
