@@ -235,7 +235,7 @@ def _ttml(text: str) -> list:
 
 
 def _ass(text: str) -> list:
-    out, names = [], []
+    out, names, shown = [], [], None
     for row in text.replace("\r\n", "\n").split("\n"):
         if row.startswith("Format:") and "Text" in row:
             names = [x.strip().lower() for x in row[7:].split(",")]
@@ -244,7 +244,7 @@ def _ass(text: str) -> list:
         e = dict(zip(names, row[9:].split(",", len(names) - 1)))
         start, end, body = _clock(e["start"].strip()), _clock(e["end"]), e["text"]
         bare = re.sub(r"\{[^}]*\}", "", body).replace("\\N", " ")
-        if "trans" in e["style"].lower() and out and out[-1]["translation"] is None and abs(out[-1]["start"] - start) < 0.05:
+        if "trans" in e["style"].lower() and out and out[-1]["translation"] is None and abs(shown - start) < 0.05:
             out[-1]["translation"] = bare
             continue
         chunks, at = [], start
@@ -252,7 +252,9 @@ def _ass(text: str) -> list:
         for cs, piece in zip(parts[1::2], parts[2::2]):
             chunks.append({"text": re.sub(r"\{[^}]*\}", "", piece), "start": at, "end": at + int(cs) / 100})
             at += int(cs) / 100
-        out.append({"start": start, "end": end, "chunks": [c for c in chunks if c["text"]] or [{"text": bare, "start": start, "end": end}], "translation": None})
+        shown = start
+        said = [c for c in chunks if c["text"]] or [{"text": bare, "start": start, "end": end}]
+        out.append({"start": said[0]["start"], "end": end, "chunks": said, "translation": None})
     return out
 
 
