@@ -6,10 +6,8 @@ to one child for each, named by the token there.  A pair of similarity s goes on
 together with probability 1-(1-s*p)^2 a level, which stays over 0.93 at any depth
 for s >= 0.8; ``TREES`` trees leave less than 1e-4.  Nodes of at most
 ``LEAF`` sets are compared exhaustively on one-byte sketches of all positions, and
-what may be similar enough is confirmed on the full sets.  Nodes that stay large
-below ``DEEP`` levels hold sets that share much, and each set meets its like in many
-of them: there a node picks several positions at once and branches once; what still is large after ``LEVELS``
-is cut in blocks that all hold the node's first sets, so their links join.
+what may be similar enough is confirmed on the full sets.  What still is large after
+``LEVELS`` is cut in blocks that all hold the node's first set.
 
 Equal sets are one class from the start, so a hundred thousand copies cost one row.
 A leaf with many candidate pairs first gives a sparse part of them; after these
@@ -30,7 +28,6 @@ from .common import Scratch, bound_batches, table
 POSITIONS = 128
 TREES = 5
 LEAF = 400
-DEEP = 2
 LEVELS = 8
 HUBS = 8
 #: Five standard deviations below 0.8 for 128 positions.
@@ -240,9 +237,7 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     at = lambda key, k: F.pmod(F.xxhash64(key, F.lit(seed + k)), F.lit(POSITIONS)).cast("int") + 1
 
     def children(df: DataFrame, level: int) -> DataFrame:
-        many = 1 if level < DEEP else 2 if level < DEEP + 2 else 4
-        ways = 2 if level < DEEP else 1
-        out = [F.xxhash64(F.col("node"), F.lit(w), *[F.element_at("sig", at(F.col("node"), 100 * level + 10 * w + k)) for k in range(many)]) for w in range(ways)]
+        out = [F.xxhash64(F.col("node"), F.lit(w), F.element_at("sig", at(F.col("node"), 100 * level + 10 * w))) for w in range(2)]
         return df.select(F.explode(F.array(*out)).alias("node"), "cls")
 
     roots = sigs.select("cls", "sig", F.explode(F.array(*[F.lit(seed * 1000 + t).cast("long") for t in range(TREES)])).alias("node"))

@@ -75,6 +75,40 @@ def test_near_dedup_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts, 4, 80)
 
 
+def templated(rng, n, planted, shared):
+    """Signatures of sets that share a template, ``planted`` of them with a partner of 0.80 to 0.85."""
+    size = near_dedup.POSITIONS
+    base, own = rng.randint(2**31, size=size), rng.randint(2**31, size=(n, size))
+    sig = np.where(rng.rand(n, size) < shared, base, own)
+    for k in range(planted):
+        sig[n - 1 - k] = sig[k]
+        at = rng.permutation(size)[: rng.randint(20, 26)]
+        sig[n - 1 - k, at] = rng.randint(2**31, size=len(at))
+    return sig
+
+
+def alike(sig, least):
+    """Pairs (i, j), i < j, of signatures that agree in ``least`` of the positions, by brute force."""
+    low = sig.astype(np.int32)
+    return {(i, int(j) + i + 1) for i in range(len(low)) for j in np.flatnonzero((low[i + 1 :] == low[i]).mean(axis=1) >= least)}
+
+
+def met(spark, sig):
+    """Pairs (i, j), i < j, that stand in one leaf."""
+    df = spark.createDataFrame([(int(k).to_bytes(4, "big"), [int(x) for x in r]) for k, r in enumerate(sig)], "cls binary, sig array<int>")
+    leaves = near_dedup._trees(df, near_dedup.Scratch(spark, "near"), 7).toPandas()
+    leaves["cls"] = [int.from_bytes(c, "big") for c in leaves["cls"]]
+    of = leaves.groupby("cls")["node"].agg(set)
+    return lambda i, j: bool(of.get(i, set()) & of.get(j, set()))
+
+
+def test_near_dedup_meets_templated_pairs(spark):
+    """Pairs at the threshold among thousands of sets that share most of a template."""
+    sig = templated(np.random.RandomState(6), 6000, 1500, 0.82)
+    pairs, together = alike(sig, 0.8), met(spark, sig)
+    assert len(pairs) >= 1500 and [p for p in pairs if not together(*p)] == []
+
+
 def test_line_dedup(odd, spark):
     got = line_dedup.dedup_lines(odd).collect()
     text = {r["doc_id"]: r["text"] for r in got}
