@@ -6,8 +6,9 @@ to one child for each, named by the token there.  A pair of similarity s goes on
 together with probability 1-(1-s*p)^2 a level, which stays over 0.93 at any depth
 for s >= 0.8; ``TREES`` trees leave less than 1e-4.  Nodes of at most
 ``LEAF`` sets are compared exhaustively on one-byte sketches of all positions, and
-what may be similar enough is confirmed on the full sets.  What still is large after
-``LEVELS`` is cut in blocks that all hold the node's first set.
+what may be similar enough is confirmed on the full sets.  A node of up to ``WHOLE``
+sets, or one that is larger after ``LEVELS``, is not split on: it is cut in blocks and
+each two blocks are a task of their own, so that every pair of the node is compared.
 
 Equal sets are one class from the start, so a hundred thousand copies cost one row.
 A leaf with many candidate pairs first gives a sparse part of them; after these
@@ -28,8 +29,8 @@ from .common import Scratch, bound_batches, table
 POSITIONS = 128
 TREES = 5
 LEAF = 400
+WHOLE = 4000
 LEVELS = 8
-HUBS = 8
 #: Five standard deviations below 0.8 for 128 positions.
 SKETCH_MARGIN = 0.18
 
@@ -163,7 +164,6 @@ def _compare(floor: float, ratio: float, sparse: bool):
                 bb.append(j + i + 1)
                 ee.append(near[j])
             a, b, e = np.concatenate(aa), np.concatenate(bb), np.concatenate(ee)
-            a, b, e = _other(a, b, e, cls)
             if sparse and len(a) > 4 * m:
                 a, b = _backbone(a, b, e, m)
                 node.append(t.column("node")[0].as_py())
@@ -182,12 +182,6 @@ def _compare(floor: float, ratio: float, sparse: bool):
     return run
 
 
-def _other(a, b, e, cls):
-    """Without pairs of a set with itself (a hub may stand twice in a block)."""
-    ok = np.array([cls[i] != cls[j] for i, j in zip(a.tolist(), b.tolist())], bool)
-    return a[ok], b[ok], e[ok]
-
-
 def _backbone(a, b, e, m):
     """Of a dense leaf's pairs: each set's most alike partner and its first partner."""
     take = set()
@@ -232,6 +226,14 @@ def _confirm(percent: int):
     return run
 
 
+def _block_pairs(nodes: DataFrame) -> DataFrame:
+    """Rows (node, cls) of a task for each two blocks of a node; rows (node, cls, m) of nodes over ``LEAF``."""
+    n = F.ceil(F.col("m") / (LEAF // 2)).cast("int")
+    dealt = nodes.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("own <> other")
+    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls")
+
+
 def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     """Leaves of all trees: rows (node, cls)."""
     at = lambda key, k: F.pmod(F.xxhash64(key, F.lit(seed + k)), F.lit(POSITIONS)).cast("int") + 1
@@ -245,18 +247,14 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     for level in range(1, LEVELS + 1):
         rows = rows.distinct() if level > 1 else rows
         rows = scratch.keep(rows)
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("hub")).where("m > 1")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         sized = scratch.keep(rows.join(sizes, "node"))
-        leaf = sized.where(F.col("m") <= LEAF).select("node", "cls")
+        last = F.lit(level == LEVELS) | (F.col("m") <= WHOLE)
+        leaf = sized.where(F.col("m") <= LEAF).select("node", "cls").unionByName(_block_pairs(sized.where((F.col("m") > LEAF) & last)))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = sized.where(F.col("m") > LEAF)
+        large = sized.where((F.col("m") > LEAF) & ~last)
         if large.isEmpty():
             return leaves
-        if level == LEVELS:
-            part = large.withColumn("block", F.pmod(F.xxhash64("cls", "node"), F.ceil(F.col("m") / (LEAF // 2))))
-            block = F.xxhash64("node", "block")
-            hubs = part.select(block.alias("node"), F.col("hub").alias("cls")).distinct()
-            return leaves.unionByName(part.select(block.alias("node"), "cls")).unionByName(hubs).distinct()
         rows = children(large.select("node", "cls").join(sigs.select("cls", "sig"), "cls"), level)
     return leaves
 

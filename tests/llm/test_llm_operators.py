@@ -109,6 +109,14 @@ def test_near_dedup_meets_templated_pairs(spark):
     assert len(pairs) >= 1500 and [p for p in pairs if not together(*p)] == []
 
 
+def test_near_dedup_compares_all_of_a_terminal_node(spark, monkeypatch):
+    """Linked pairs in a crowd that no level splits and whose sets are else under 0.8."""
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    sig = templated(np.random.RandomState(8), 2500, 300, 0.86)
+    pairs, together = alike(sig, 0.8), met(spark, sig)
+    assert len(pairs) >= 300 and [p for p in pairs if not together(*p)] == []
+
+
 def test_line_dedup(odd, spark):
     got = line_dedup.dedup_lines(odd).collect()
     text = {r["doc_id"]: r["text"] for r in got}
