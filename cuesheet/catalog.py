@@ -295,7 +295,7 @@ def frame_plan(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     q = F.col("l_quantity").cast("long") + 8
     end = F.sum(q).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    shots = t(spark, d, "lineitem").where("l_orderkey % 100 = 0").select("l_orderkey", "l_linenumber", (end - q).alias("o0"), end.alias("o1"), (F.col("l_linenumber") * 10).cast("long").alias("off"), F.when(F.row_number().over(w) > 1, 4).otherwise(0).alias("fade"))
+    shots = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (end - q).alias("o0"), end.alias("o1"), (F.col("l_linenumber") * 10).cast("long").alias("off"), F.when(F.row_number().over(w) > 1, 4).otherwise(0).alias("fade"))
     return cut.frame_plan(shots, ["l_orderkey"]).groupBy("l_orderkey", "frame").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.sum("source").alias("source_sum"))
 
 

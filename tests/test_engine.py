@@ -92,3 +92,9 @@ def test_streaming_sessions(spark, tmp_path):
     assert q.awaitTermination(120)
     batch = sessions.pause_sessions(df, "user_id", "ts")
     assert spark.table("s").count() == batch.count() and spark.table("s").agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_frame_plan_of_every_order(spark, duck):
+    got = QUERIES["frame_plan"](spark, SF).groupBy("l_orderkey").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.round(F.sum("weight"), 3).alias("frames")).toPandas()
+    want = duck.execute("SELECT l_orderkey, 0::BIGINT AS first, sum(l_quantity::BIGINT + 8)::BIGINT - 1 AS last, sum(l_quantity::BIGINT + 8)::DOUBLE AS frames FROM lineitem GROUP BY ALL").df()
+    assert rows(got) == rows(want)
