@@ -369,29 +369,39 @@ def speaker_turns(spark, d):
 
 
 def _turn_tokens(spark, d):
-    c = t(spark, d, "conversations").where("turn < 2").select("conv_id", "turn", F.posexplode(tx.words_of(F.col("text"))).alias("g_no", "w"))
-    c = c.select(F.col("conv_id").alias("doc_id"), "turn", "g_no", tx.key(F.col("w")).alias("norm"), F.col("w").alias("text"))
-    return c.where("turn = 0").drop("turn"), c.where("turn = 1").drop("turn")
+    """Words of each turn and, under its number, of the next one of the conversation.
+
+    A last turn has no next one; only where it is the first too it stands alone.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t(spark, d, "conversations").withColumn("before", F.lag("turn").over(w)).withColumn("next", F.lead("turn").over(w))
+    c = c.select("conv_id", "turn", "before", "next", F.posexplode(tx.words_of(F.col("text"))).alias("g_no", "w"))
+    c = c.select(F.col("conv_id").alias("doc_id"), "turn", "before", "next", "g_no", tx.key(F.col("w")).alias("norm"), F.col("w").alias("text"))
+    ref = c.where("next is not null or before is null").drop("before", "next")
+    return ref, c.where("before is not null").withColumn("turn", F.col("before")).drop("before", "next")
+
+
+PAIR = ["doc_id", "turn"]
 
 
 @query
 def align_error_rate(spark, d):
-    return align.error_rate(align.align_ops(*_turn_tokens(spark, d)), "doc_id").select("doc_id", F.round("error_rate", 6).alias("error_rate"), "n_ref", "n_match")
+    return align.error_rate(align.align_ops(*_turn_tokens(spark, d), PAIR), *PAIR).select(*PAIR, F.round("error_rate", 6).alias("error_rate"), "n_ref", "n_match")
 
 
 @query
 def diff_report_issues(spark, d):
-    return align.diff_report(align.align_ops(*_turn_tokens(spark, d)))
+    return align.diff_report(align.align_ops(*_turn_tokens(spark, d), PAIR), PAIR)
 
 
 @query
 def transfer_times(spark, d):
     ref, hyp = _turn_tokens(spark, d)
-    ops = align.align_ops(ref, hyp)
+    ops = align.align_ops(ref, hyp, PAIR)
     none = F.lit(None).cast("double")
     ref = ref.withColumns({"start": none, "end": none, "confidence": none, "weight": tx.syllable_weight(F.col("norm"))})
     hyp = hyp.withColumns({"start": F.col("g_no") * 0.25, "end": F.col("g_no") * 0.25 + 0.2, "confidence": F.lit(0.9)})
-    return align.transfer_times(ops, ref, hyp).select("doc_id", "g_no", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+    return align.transfer_times(ops, ref, hyp, PAIR).select(*PAIR, "g_no", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
 @query

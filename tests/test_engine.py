@@ -98,3 +98,12 @@ def test_frame_plan_of_every_order(spark, duck):
     got = QUERIES["frame_plan"](spark, SF).groupBy("l_orderkey").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.round(F.sum("weight"), 3).alias("frames")).toPandas()
     want = duck.execute("SELECT l_orderkey, 0::BIGINT AS first, sum(l_quantity::BIGINT + 8)::BIGINT - 1 AS last, sum(l_quantity::BIGINT + 8)::DOUBLE AS frames FROM lineitem GROUP BY ALL").df()
     assert rows(got) == rows(want)
+
+
+def test_every_turn_meets_the_next(spark, duck):
+    pairs = rows(duck.execute("SELECT conv_id AS doc_id, turn FROM conversations QUALIFY lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL").df())
+    rate = QUERIES["align_error_rate"](spark, SF).toPandas()
+    assert rows(rate[["doc_id", "turn"]]) == pairs
+    timed = QUERIES["transfer_times"](spark, SF).groupBy("doc_id", "turn").count().toPandas()
+    assert rows(timed[["doc_id", "turn"]]) == pairs
+    assert set(map(tuple, QUERIES["diff_report_issues"](spark, SF).select("doc_id", "turn").distinct().collect())) == {(r.doc_id, r.turn) for r in rate.itertuples() if r.error_rate > 0}
