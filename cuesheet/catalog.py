@@ -445,8 +445,8 @@ def normalize_curve(spark, d):
 @query
 def cosine_similarity(spark, d):
     e = t(spark, d, "embeddings")
-    a = e.where("vec_id < 60").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    b = e.where("vec_id < 60").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
     return a.join(b, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", (F.round(speakers.cosine(F.col("a"), F.col("b")), 4) + 0.0).alias("sim"))
 
 
@@ -464,7 +464,8 @@ def merge_small_clusters(spark, d):
 
 @query
 def cluster_upgma(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 300").withColumn("doc", F.col("vec_id") % 5)
+    """All vectors in documents of 60 ids in a row."""
+    e = t(spark, d, "embeddings").withColumn("doc", F.floor(F.col("vec_id") / 60))
     return speakers.cluster(e, "doc", "vec_id", "embedding")
 
 

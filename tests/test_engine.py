@@ -1,6 +1,7 @@
 """Formats and operators on small tables, and the catalog against DuckDB."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cuesheet.catalog import ORACLE, QUERIES
 from cuesheet.functions.time import parse_ts, ts_ass, ts_lrc, ts_srt
 from cuesheet.operators import cut, timing
+from cuesheet.operators.speakers import upgma
 from cuesheet.sources import readers, writers
 from cuesheet.streaming import sessions
 
@@ -107,3 +109,20 @@ def test_every_turn_meets_the_next(spark, duck):
     timed = QUERIES["transfer_times"](spark, SF).groupBy("doc_id", "turn").count().toPandas()
     assert rows(timed[["doc_id", "turn"]]) == pairs
     assert set(map(tuple, QUERIES["diff_report_issues"](spark, SF).select("doc_id", "turn").distinct().collect())) == {(r.doc_id, r.turn) for r in rate.itertuples() if r.error_rate > 0}
+
+
+def test_embedding_queries_read_every_vector(spark, duck):
+    """All pairs; those of the SQL's vectors are its rows.  All vectors in clusters of their document."""
+    sim = QUERIES["cosine_similarity"](spark, SF).toPandas()
+    ids = duck.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").df()
+    v = np.stack(ids["embedding"].tolist()).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = np.triu_indices(len(v), 1)
+    sim = sim.sort_values(["a_id", "b_id"])
+    assert sim["a_id"].tolist() == ids["vec_id"].to_numpy()[i].tolist() and sim["b_id"].tolist() == ids["vec_id"].to_numpy()[j].tolist()
+    assert np.abs(sim["sim"].to_numpy() - (v @ v.T)[i, j]).max() < 6e-5
+    assert rows(sim[sim["b_id"] < 60]) == rows(duck.execute(ORACLE["cosine_similarity"]).df())
+    got = QUERIES["cluster_upgma"](spark, SF).toPandas().sort_values("vec_id")
+    assert got["vec_id"].tolist() == ids["vec_id"].tolist() and got.groupby("doc").size().max() <= 60
+    for _, part in got.groupby("doc"):
+        assert part["cluster"].tolist() == upgma(v[part["vec_id"]], 0.45).tolist()
