@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,27 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = MAX_BATCH_ROWS) -> None:
-    """Lower the Arrow batch size of the session to ``rows`` if it is larger."""
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``MAX_BATCH_ROWS`` if it is larger.
+
+    Spark reads the size when a plan runs, not when it is made, so it can't be put back
+    before the caller has run what an operator returns; all operators use this one size.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    if now <= 0 or now > MAX_BATCH_ROWS:
+        spark.conf.set(key, str(MAX_BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Where that is unset, a local session (tests) gets a folder of its own; on a cluster
+    that is an error, as executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes them."""
 

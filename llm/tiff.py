@@ -236,7 +236,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     A null, empty or broken file, also one broken in a later page, gives one row with
     page_no null and error told.  Own columns with a page column's name are replaced.
     """
-    bound_batches(df.sparkSession, 200)
+    bound_batches(df.sparkSession)
     names = [n for n, _ in PAGE_FIELDS]
     kept = [c for c in df.columns if c not in names]
     source = df.select(*kept)
@@ -274,7 +274,7 @@ def _store(batches):
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8 bytes, filled up with zeros, as a page."""
-    bound_batches(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_store, f"doc_id {id_type}, n_bytes long, media binary")
 

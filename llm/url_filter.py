@@ -124,7 +124,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     * of rules as long, the first by name wins; repeated rows are judged alike;
     * columns of these four names are replaced; an empty table is fine.  No shuffle.
     """
-    bound_batches(pages.sparkSession, 5000)
+    bound_batches(pages.sparkSession)
     url = F.col(url_col)
     rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", 1))
     rest = F.when(rest.isNotNull(), F.substr(url, F.length(rest) + 4)).otherwise(F.lit(""))

@@ -117,14 +117,64 @@ def test_near_dedup_compares_all_of_a_terminal_node(spark, monkeypatch):
     assert len(pairs) >= 300 and [p for p in pairs if not together(*p)] == []
 
 
-def test_line_dedup(odd, spark):
-    got = line_dedup.dedup_lines(odd).collect()
+def test_line_dedup(odd, spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_WORDS", 5)
+    got = line_dedup.dedup_lines(odd, 5).collect()
     text = {r["doc_id"]: r["text"] for r in got}
     assert len(got) == 13 and text[2] == "" and text[4] is None and text[5] == "" and text[7] == text[8] == "one two" and text[1].startswith("the quick")
+    assert text[9] == LONG and text[10] == LONG + " end"
     assert [tuple(s) for r in got if r["doc_id"] == 2 for s in r["removed"]] == [(0, len(text[1]))]
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
+    named = line_dedup.dedup_lines(odd.withColumn("span_id", F.lit(1)).withColumn("numbers", F.lit("n")), 5, removed="gone")
+    assert {r["removed"] + r["numbers"] for r in named.collect()} == {"xn"} and {r["span_id"] for r in named.collect()} == {1}
     df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "x\nA  b, c d e f!\ny")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {1: "a b c d e f\nx", 2: "x\ny"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, 5).collect()} == {1: "a b c d e f\nx", 2: "x\ny"}
+
+
+def brute_dedup(texts, least):
+    """Texts of (doc_id, text), ascending, after cutting: units compared word by word with all before them."""
+    seen, out = set(), {}
+    for i, text in texts:
+        pieces, at, opens, spans = line_dedup.regex.findall(line_dedup.CLAUSE, text), 0, True, []
+        told = []
+        for p in pieces:
+            words = line_dedup.regex.findall(line_dedup.WORD, p.lower())
+            told.append((at, at + len(p), words, opens))
+            at, opens = at + len(p), any(c in line_dedup.ENDS for c in p)
+        for k, (a, _, words, first) in enumerate(told):
+            unit, j = [], k
+            while words and first and j < len(told) and len(unit) < least:
+                unit += told[j][2]
+                j += 1
+            if words and first and len(unit) >= least:
+                if tuple(unit) in seen:
+                    spans.append((a, told[j - 1][1]))
+                seen.add(tuple(unit))
+        out[i] = line_dedup.cut(text, line_dedup.merged(text, spans))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark, monkeypatch):
+    """Passages that start and end within lines, a hot one, a short line that all share, scripts without spaces."""
+    rng = np.random.RandomState(2)
+    say = lambda n: " ".join(f"w{rng.randint(3000)}" + ("." if rng.rand() < 0.15 else ",\n" if rng.rand() < 0.05 else "") for _ in range(n))
+    passages = [say(60) for _ in range(6)] + ["我們今天去公園散步,看見了很多美麗的花朵和高大的樹木。然後我們一起回家吃飯了。"]
+    texts = []
+    for i in range(300):
+        t = say(rng.randint(1, 120))
+        if i % 3 == 0:
+            t += " " + passages[0] + " " + say(9)
+        elif i % 5 == 0:
+            t += " " + passages[rng.randint(1, 7)] + " " + say(20)
+        texts.append((i, t + "\nThe one short line they all share.\n"))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for hot in (1000, 4):  # with and without digests joined by broadcast
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+        assert got == brute_dedup(texts, line_dedup.LEAST_WORDS)
+    touched = {i for i, t in texts if got[i] != t}
+    assert touched <= {i for i, _ in texts if i % 3 == 0 or i % 5 == 0} and len(touched) >= 110
+    assert all(got[i].endswith("The one short line they all share.\n") for i, _ in texts)
 
 
 def test_line_dedup_oracle(spark):
