@@ -2,13 +2,22 @@
 
 Every distinct shingle set gets a vector of minwise tokens.  Independent random
 trees branch the sets: a node picks two positions of the vector and sends a set
-to one child for each, named by the token there.  A pair of similarity s goes on
-together with probability 1-(1-s*p)^2 a level, which stays over 0.93 at any depth
-for s >= 0.8; ``TREES`` trees leave less than 1e-4.  Nodes of at most
-``LEAF`` sets are compared exhaustively on one-byte sketches of all positions, and
-what may be similar enough is confirmed on the full sets.  A node of up to ``WHOLE``
-sets, or one that is larger after ``LEVELS``, is not split on: it is cut in blocks and
-each two blocks are a task of their own, so that every pair of the node is compared.
+to one child for each, named by the token there.  Of a pair of similarity s, survival
+q of the branching to any depth solves q = 1 - (1 - s * q)^2: 0.937 at s = 0.8, and more
+over it.  ``TREES`` trees so miss such a pair with a chance under (1 - 0.937)^4 < 2e-5.
+
+Nodes of at most ``LEAF`` sets are compared exhaustively on one-byte sketches of all
+positions, and what may be similar enough is confirmed on the full sets.  Larger nodes
+branch on, but two kinds end early, with every pair that matters still compared:
+
+* a crowd, nearly all of one component that is already known: its outsiders are compared
+  with all of it, in blocks (``_crowd_blocks``); a node of one component has no pair to tell;
+* a node of up to ``WHOLE`` sets, or one that is larger after ``LEVELS``: it is cut in
+  blocks and each two blocks are a task of their own (``_block_pairs``).
+
+Components known from the start come from a backbone: sets in order of a short run of
+tokens, each linked with the one before it if the full sets say so.  That order is a range
+partitioning, so a run that a third of all sets share spreads over many tasks.
 
 Equal sets are one class from the start, so a hundred thousand copies cost one row.
 A leaf with many candidate pairs first gives a sparse part of them; after these
@@ -27,12 +36,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, table
 
 POSITIONS = 128
-TREES = 5
+TREES = 4
 LEAF = 400
 WHOLE = 4000
 LEVELS = 8
-#: Five standard deviations below 0.8 for 128 positions.
-SKETCH_MARGIN = 0.18
+#: Runs of tokens that the backbone goes by, and their length.
+RUNS, RUN = 6, 3
+#: Four standard deviations below 0.8 for 128 positions: one pair in 30,000 at 0.8 is estimated lower.
+SKETCH_MARGIN = 0.142
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D | 1
@@ -142,21 +153,25 @@ def _groups(batches, key: str):
 
 
 def _compare(floor: float, ratio: float, sparse: bool):
-    """Candidate pairs of each leaf; a dense leaf also gives a row with its node alone."""
+    """Candidate pairs of each leaf between components; a dense leaf also gives a row with its node alone."""
 
     def run(batches):
         node, left, right = [], [], []
         for t in _groups(batches, "node"):
             m = t.num_rows
-            if m < 2:
-                continue
-            cls = t.column("cls").to_pylist()
             comp = t.column("comp").to_pylist()
-            n = t.column("n").to_numpy().astype(np.float64)
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(m, POSITIONS)
-            group = np.unique(np.array([hash(x) for x in comp]), return_inverse=True)[1] if any(comp) else np.arange(m)
+            place = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+            if len(place) < 2:
+                continue
+            group = np.array([place[c] for c in comp])
+            # Small components first: the largest has no pairs of its own to look at.
+            rank = np.lexsort((group, np.bincount(group)[group]))
+            group = group[rank]
+            cls = t.column("cls").take(pa.array(rank)).to_pylist()
+            n = t.column("n").to_numpy()[rank].astype(np.float64)
+            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(m, POSITIONS)[rank]
             aa, bb, ee = [], [], []
-            for i in range(m - 1):
+            for i in range(int(np.flatnonzero(group != group[-1])[-1]) + 1):
                 near = (sk[i + 1 :] == sk[i]).sum(axis=1) / POSITIONS
                 low, high = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
                 j = np.flatnonzero((near >= floor) & (low >= ratio * high - 1e-9) & (group[i + 1 :] != group[i]))
@@ -165,7 +180,7 @@ def _compare(floor: float, ratio: float, sparse: bool):
                 ee.append(near[j])
             a, b, e = np.concatenate(aa), np.concatenate(bb), np.concatenate(ee)
             if sparse and len(a) > 4 * m:
-                a, b = _backbone(a, b, e, m)
+                a, b = _sparse(a, b, e)
                 node.append(t.column("node")[0].as_py())
                 left.append(None)
                 right.append(None)
@@ -182,7 +197,7 @@ def _compare(floor: float, ratio: float, sparse: bool):
     return run
 
 
-def _backbone(a, b, e, m):
+def _sparse(a, b, e):
     """Of a dense leaf's pairs: each set's most alike partner and its first partner."""
     take = set()
     order = np.lexsort((a + b, -e))
@@ -234,31 +249,79 @@ def _block_pairs(nodes: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls")
 
 
+def _crowd_blocks(nodes: DataFrame) -> DataFrame:
+    """Rows (node, cls) of a task for each block of a crowd's component, with all outsiders in each.
+
+    Rows (node, cls, m, inside) of crowds: of m sets at most about 2 * ``LEAF`` are not inside.
+    """
+    n = F.ceil(F.col("m") / (4 * LEAF)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("cls", "node"), n).cast("int"))
+    dealt = nodes.withColumn("block", F.explode(F.when(F.col("inside"), own).otherwise(F.sequence(F.lit(0), n - 1))))
+    return dealt.select(F.xxhash64("node", "block").alias("node"), "cls")
+
+
 def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
-    """Leaves of all trees: rows (node, cls)."""
+    """Leaves of all trees: rows (node, cls) of ``sigs`` (cls, sig, comp)."""
     at = lambda key, k: F.pmod(F.xxhash64(key, F.lit(seed + k)), F.lit(POSITIONS)).cast("int") + 1
 
     def children(df: DataFrame, level: int) -> DataFrame:
         out = [F.xxhash64(F.col("node"), F.lit(w), F.element_at("sig", at(F.col("node"), 100 * level + 10 * w))) for w in range(2)]
-        return df.select(F.explode(F.array(*out)).alias("node"), "cls")
+        return df.select(F.explode(F.array(*out)).alias("node"), "cls", "comp")
 
-    roots = sigs.select("cls", "sig", F.explode(F.array(*[F.lit(seed * 1000 + t).cast("long") for t in range(TREES)])).alias("node"))
+    roots = sigs.select("cls", "sig", "comp", F.explode(F.array(*[F.lit(seed * 1000 + t).cast("long") for t in range(TREES)])).alias("node"))
     rows, leaves = children(roots, 0), None
     for level in range(1, LEVELS + 1):
-        rows = rows.distinct() if level > 1 else rows
         rows = scratch.keep(rows)
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        sized = scratch.keep(rows.join(sizes, "node"))
-        last = F.lit(level == LEVELS) | (F.col("m") <= WHOLE)
-        leaf = sized.where(F.col("m") <= LEAF).select("node", "cls").unionByName(_block_pairs(sized.where((F.col("m") > LEAF) & last)))
+        parts = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
+        sizes = parts.groupBy("node").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("alike"), F.max_by("comp", "k").alias("most")).where("alike < m * m")
+        sized = scratch.keep(rows.join(sizes, "node").withColumn("inside", F.col("comp") == F.col("most")))
+        small = F.col("m") <= LEAF
+        crowd = ~small & (F.col("m") * F.col("m") - F.col("alike") <= 2 * LEAF * F.col("m"))
+        last = ~small & ~crowd & (F.lit(level == LEVELS) | (F.col("m") <= WHOLE))
+        leaf = sized.where(small).select("node", "cls").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last)))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = sized.where((F.col("m") > LEAF) & ~last)
+        large = sized.where(~small & ~crowd & ~last)
         if large.isEmpty():
             return leaves
-        rows = children(large.select("node", "cls").join(sigs.select("cls", "sig"), "cls"), level)
+        rows = children(large.select("node", "cls", "comp").join(sigs.select("cls", "sig"), "cls"), level)
     return leaves
 
 
+def _chain(batches):
+    """Pairs of neighbours with one key among rows sorted by key."""
+    key, cls = None, None
+    for batch in batches:
+        left, right = [], []
+        for k, c in zip(batch.column("key").to_pylist(), batch.column("cls").to_pylist()):
+            if k == key and c != cls:
+                left.append(min(c, cls))
+                right.append(max(c, cls))
+            key, cls = k, c
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+
+def _backbone(sigs: DataFrame, floor: float, ratio: float) -> DataFrame:
+    """Candidate pairs (a, b), a few for each class: neighbours by a run of tokens whose sketches agree.
+
+    A heuristic: what it finds is confirmed and spares the trees work, what it misses they find.
+    """
+    keys = [F.xxhash64(F.lit(k), F.slice("sig", 1 + k * RUN, RUN)) for k in range(RUNS)]
+    rows = sigs.select("cls", F.explode(F.array(*keys)).alias("key")).withColumn("turn", F.xxhash64("key", "cls"))
+    pairs = rows.repartitionByRange("key", "turn").sortWithinPartitions("key", "turn").select("key", "cls").mapInArrow(_chain, "a binary, b binary").distinct()
+    side = lambda x: sigs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio) - 1e-9)
+    return both.select("a", "b", "sa", "sb").mapInArrow(_agree(floor), "a binary, b binary")
+
+
+def _agree(floor: float):
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
+
+    return run
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) for each end of ``edges`` (a, b): hooks to the least neighbour, then jumps.
 
@@ -298,15 +361,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     rows = signed.select("doc_id", "n", "cls")
     full = signed.where("cls is not null")
     sigs = scratch.keep(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
-    leaves = _trees(sigs, scratch, seed)
     least = sigs.select("cls", "n", "sketch")
+    floor, ratio = percent / 100 - SKETCH_MARGIN, percent / 100
 
-    def candidates(leaf: DataFrame, sparse: bool) -> DataFrame:
-        dealt = leaf.repartition("node").sortWithinPartitions("node", "cls")
-        found = dealt.select("node", "cls", "n", "sketch", "comp").mapInArrow(_compare(percent / 100 - SKETCH_MARGIN, percent / 100, sparse), "dense long, a binary, b binary")
+    def candidates(leaf: DataFrame, comps: DataFrame, sparse: bool) -> DataFrame:
+        dealt = leaf.join(least.join(comps, "cls"), "cls").repartition("node").sortWithinPartitions("node", "cls")
+        found = dealt.select("node", "cls", "n", "sketch", "comp").mapInArrow(_compare(floor, ratio, sparse), "dense long, a binary, b binary")
         return scratch.keep(found)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with whether their full sets are linked."""
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         ids = ends.join(sigs.select("cls", "doc_id"), "cls").select("doc_id").distinct()
         texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
@@ -315,19 +379,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
         return scratch.keep(joined.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"))
 
-    found = candidates(leaves.join(least, "cls").withColumn("comp", F.lit(None).cast("binary")), True)
-    checked = confirmed(found.where("a is not null").select("a", "b").distinct())
-    reach = components(checked.where("linked"), scratch)
+    def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """(cls, comp) after ``links`` (a, b): components of components."""
+        of = lambda x: comps.select(F.col("cls").alias(x), F.col("comp").alias(f"of_{x}"))
+        edges = scratch.keep(links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+        if edges.isEmpty():
+            return comps
+        reach = components(edges, scratch)
+        return scratch.keep(comps.join(reach, comps["comp"] == reach["v"], "left").select("cls", F.coalesce("root", "comp").alias("comp")))
+
+    comps = scratch.keep(sigs.select("cls", F.col("cls").alias("comp")))
+    checked = confirmed(scratch.keep(_backbone(sigs, floor, ratio)))
+    comps = joined(comps, checked.where("linked"))
+    leaves = _trees(sigs.select("cls", "sig").join(comps, "cls"), scratch, seed)
+    found = candidates(leaves, comps, True)
+    fresh_pairs = scratch.keep(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
+    if not fresh_pairs.isEmpty():
+        more = confirmed(fresh_pairs)
+        comps = joined(comps, more.where("linked"))
+        checked = checked.unionByName(more)
     dense = found.where("dense is not null").select(F.col("dense").alias("node")).distinct()
     if not dense.isEmpty():
-        again = leaves.join(dense, "node", "left_semi").join(least, "cls").join(reach.select(F.col("v").alias("cls"), F.col("root").alias("comp")), "cls", "left")
-        more = candidates(again.withColumn("comp", F.coalesce("comp", "cls")), False).where("a is not null").select("a", "b").distinct()
-        more = scratch.keep(more.join(checked, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            checked = checked.unionByName(confirmed(more))
-            reach = components(checked.where("linked"), scratch)
-    lowest = sigs.select("cls", "doc_id").join(reach, sigs["cls"] == reach["v"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
-    lowest = scratch.keep(lowest)
+        again = candidates(leaves.join(dense, "node", "left_semi"), comps, False).where("a is not null").select("a", "b").distinct()
+        again = scratch.keep(again.join(checked, ["a", "b"], "left_anti"))
+        if not again.isEmpty():
+            comps = joined(comps, confirmed(again).where("linked"))
+    lowest = scratch.keep(sigs.select("cls", "doc_id").join(comps.withColumnRenamed("comp", "root"), "cls"))
     of_root = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.keep(lowest.join(of_root, "root").select("cls", "component_id", F.col("root").alias("class_id")))
     out = scratch.keep(rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("class_id").alias("class_id")))

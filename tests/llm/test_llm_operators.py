@@ -75,6 +75,49 @@ def test_near_dedup_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts, 4, 80)
 
 
+def test_near_dedup_crowds_against_brute_force(spark, monkeypatch):
+    """Crowds of thousands around the threshold: several groups, outsiders, some linked only by way of one other."""
+    rng = np.random.RandomState(9)
+    texts = []
+    for crowd, size in ((0, 4200), (1, 900), (2, 500)):
+        base = [f"c{crowd}w{i}" for i in range(90)]
+        for k in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 3) if crowd == 0 else rng.randint(1, 4) if crowd == 1 else 5):
+                w[rng.randint(90)] = f"x{rng.randint(10**6)}"
+            texts.append(" ".join(w))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == fast_components(texts, 4, 80)
+
+
+def fast_components(texts, width, percent):
+    """Components by comparing every two texts' shingle sets through a 0/1 matrix product."""
+    sets = [near_dedup.shingle_set(t.encode(), width) for t in texts]
+    names = np.unique(np.concatenate(sets))
+    common = np.bincount(np.searchsorted(names, np.concatenate(sets)))
+    frequent = np.flatnonzero(common > 1)
+    x = np.zeros((len(texts), len(frequent)), np.float32)
+    for i, s in enumerate(sets):
+        hit = np.searchsorted(names, s)
+        at = np.searchsorted(frequent, hit)
+        at = at[(at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == hit)]
+        x[i, at] = 1
+    size = np.array([len(s) for s in sets], np.float32)
+    root = np.arange(len(texts))
+    while True:
+        before = root.copy()
+        for a in range(0, len(texts), 500):
+            both = x[a : a + 500] @ x.T
+            linked = 100 * both >= percent * (size[a : a + 500, None] + size[None, :] - both)
+            root[a : a + 500] = np.minimum(root[a : a + 500], np.where(linked, root[None, :], len(texts)).min(axis=1))
+        root = root[root]
+        if (root == before).all():
+            return root.tolist()
+
+
 def templated(rng, n, planted, shared):
     """Signatures of sets that share a template, ``planted`` of them with a partner of 0.80 to 0.85."""
     size = near_dedup.POSITIONS
@@ -96,7 +139,7 @@ def alike(sig, least):
 def met(spark, sig):
     """Pairs (i, j), i < j, that stand in one leaf."""
     df = spark.createDataFrame([(int(k).to_bytes(4, "big"), [int(x) for x in r]) for k, r in enumerate(sig)], "cls binary, sig array<int>")
-    leaves = near_dedup._trees(df, near_dedup.Scratch(spark, "near"), 7).toPandas()
+    leaves = near_dedup._trees(df.withColumn("comp", F.col("cls")), near_dedup.Scratch(spark, "near"), 7).toPandas()
     leaves["cls"] = [int.from_bytes(c, "big") for c in leaves["cls"]]
     of = leaves.groupby("cls")["node"].agg(set)
     return lambda i, j: bool(of.get(i, set()) & of.get(j, set()))
