@@ -58,6 +58,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes them."""
 
@@ -78,11 +84,8 @@ class Scratch:
     def drop(self, but: int = 0) -> None:
         """Remove all tables but the last ``but``."""
         gone = self.paths[: len(self.paths) - but]
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in gone:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            drop_path(self.spark, path)
         self.paths = self.paths[len(gone) :]
 
 

@@ -158,6 +158,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, removed: str = "remov
     span_id, span_key, numbers = (fresh(kept, n) for n in ("span_id", "span_key", "numbers"))
     spans = found.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("unit")).alias(numbers))
     spans = scratch.keep(spans.select(F.col("doc_id").alias(span_id), F.col("row_key").alias(span_key), numbers))
+    scratch.drop(but=1)
     out = kept.join(spans, kept["doc_id"].eqNullSafe(F.col(span_id)) & (F.xxhash64(kept["text"]) == F.col(span_key)), "left").select(*kept.columns, numbers)
     schema = ", ".join(f"`{n}` {t}" for n, t in [*kept.dtypes, (numbers, "array<struct<start:int,end:int>>")])
     done = out.mapInArrow(_cut_rows(least, numbers), schema)

@@ -55,7 +55,12 @@ def _uniform(seed: int, *cols) -> Column:
 
 
 EPS = 1e-9
-UNIT = "struct<unit:string,size:bigint,p:double>"
+
+
+def unit_of() -> Column:
+    """The unit of a document: a digest of id, text and source, nulls apart from every value."""
+    told = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
+    return F.sha1(F.concat_ws("|", told(F.col("doc_id").cast("string")), F.xxhash64("text").cast("string"), told(F.col("source"))))
 
 
 def _fold(items: Column, seed: int) -> Column:
@@ -93,12 +98,13 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
       has target 0; null is a source of its own, last in order;
     * ties and repeated rows: rows alike in id, source and text are one unit, taken alike,
       counted with all their words; the same input gives the same mix;
+    * a very long text is one document of that size; the mix may miss a target by it;
     * an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    base = scratch.keep(docs.select("doc_id", "source", size.alias("size"), F.sha1(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("text").cast("string"), F.coalesce("source", F.lit("")))).alias("unit")))
+    base = scratch.keep(docs.select("doc_id", "source", size.alias("size"), unit_of().alias("unit")))
     goal = scratch.keep(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + EPS)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))

@@ -111,7 +111,7 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 def _sign(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             size, cls, sig, sketch = [], [], [], []
             for text in texts:
                 s = shingle_set(text, width)
@@ -126,8 +126,8 @@ def _sign(width: int):
                     sig.append(None)
                     sketch.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n", "cls", "sig", "sketch"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(sketch, pa.binary())],
+                ["doc_id", "row_key", "n", "cls", "sig", "sketch"],
             )
 
     return run
@@ -340,7 +340,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id.
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id, row_key.
+
+    class_id tells components apart where ids don't (null: no shingle); row_key is
+    ``xxhash64`` of the text, to find the row again where ids repeat.
 
     Links texts whose distinct ``width``-word shingle sets have
     100 * |both| >= ``percent`` * |either|; a component is what links reach, its id
@@ -350,15 +353,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     * equal sets (copies, repeated rows) are one class and always linked; rows that
       share the smallest id are all kept, as the id alone tells rows apart here;
     * null ids: such a row counts after all others and is kept only alone;
+    * a very long text is shingled whole by one worker, which holds its words' hashes;
     * an empty table gives an empty result; other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "near")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
     id_type = dict(base.dtypes)["doc_id"]
-    signed = scratch.keep(base.mapInArrow(_sign(width), f"doc_id {id_type}, n long, cls binary, sig array<int>, sketch binary"))
-    rows = signed.select("doc_id", "n", "cls")
+    signed = scratch.keep(base.mapInArrow(_sign(width), f"doc_id {id_type}, row_key long, n long, cls binary, sig array<int>, sketch binary"))
+    rows = signed.select("doc_id", "row_key", "n", "cls")
     full = signed.where("cls is not null")
     sigs = scratch.keep(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     least = sigs.select("cls", "n", "sketch")
@@ -407,11 +411,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     lowest = scratch.keep(sigs.select("cls", "doc_id").join(comps.withColumnRenamed("comp", "root"), "cls"))
     of_root = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.keep(lowest.join(of_root, "root").select("cls", "component_id", F.col("root").alias("class_id")))
-    out = scratch.keep(rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("class_id").alias("class_id")))
+    out = scratch.keep(rows.join(named, "cls", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("class_id").alias("class_id")))
     scratch.drop(but=1)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_key")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("row_key")

@@ -155,10 +155,11 @@ def score_text(text: str, weights: np.ndarray, bias: float) -> float:
     return 1 / (1 + float(np.exp(-max(-30.0, min(30.0, bias)))))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with score, 0 to 1; null and empty texts get the score of no n-gram.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, 0 to 1; null and empty texts get the score of no n-gram.
 
-    Repeated rows get equal scores; an own column named ``score`` is replaced.
+    Repeated rows get equal scores; an own column of that name is replaced; a very long
+    text is read whole by one worker; an empty table is fine.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -168,15 +169,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         weights, bias = shared.value
         for batch in batches:
             out = [score_text(t or "", weights, bias) for t in batch.column("text").to_pylist()]
-            yield batch.append_column("score", pa.array(out, pa.float64()))
+            yield batch.append_column(name, pa.array(out, pa.float64()))
 
-    kept = docs.drop("score")
-    return kept.mapInArrow(run, with_field(kept.schema, "score", T.DoubleType()))
+    kept = docs.drop(name)
+    return kept.mapInArrow(run, with_field(kept.schema, name, T.DoubleType()))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Train on ``labels`` of ``docs`` and score every row of ``docs``."""
-    return score(docs, train(docs, labels, max_labelled))
+def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, name: str = "score") -> DataFrame:
+    """Train on ``labels`` of ``docs`` and score every row of ``docs`` in the column ``name``."""
+    return score(docs, train(docs, labels, max_labelled), name)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,4 +349,41 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(stage(spark, kept, SF).collect(), docs.schema)
         assert kept.columns == docs.columns and 0 < kept.count() <= 2 * docs.count(), name
     assert corpus_pipeline.encode(spark, kept, SF).count() == kept.count()
-    assert corpus_pipeline.near_dedup(spark, empty(docs), SF).count() == 0
+
+
+CLASHES = ("score", "removed", "unit", "copies", "span_id", "span_key", "numbers", "kept_id", "kept_key", "kept_rows", "row", "mix_unit", "own_unit", "copy_no", "row_key", "cls", "n", "high")
+
+
+def test_pipeline_odd_rows(odd, spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables in every stage."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+    rows = [tuple(r) for r in docs.collect()]
+    long_ = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.dtypes == docs.dtypes, name
+        out = [tuple(r) for r in got.collect()]
+        assert all(r[5:] == long_[r[0]][5:] for r in out), name
+        ids = sorted([r[0] for r in out if r[0] is not None])
+        if name == "toxicity":
+            assert out.count(rows[0]) in (0, 2) and len(out) >= 8
+        if name == "near_dedup":
+            assert ids == [1, 4, 5, 6, 7, 9, 11] and set(out) <= set(rows)
+        if name == "substring_dedup":
+            assert {4, 5, 6, 7, 8, 9, 11} <= set(ids) and (4, None) in {r[:2] for r in out}
+        if name == "mix_sources":
+            assert not {4, 5, 6} & set(ids) and set(out) <= set(rows) and max(ids.count(i) for i in ids) <= 4
+        assert stage(spark, empty(docs), SF).count() == 0, name
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 13 and corpus_pipeline.encode(spark, empty(docs), SF).count() == 0
+
+
+def test_mix_null_and_empty_source(spark):
+    """A null source and an empty one are two sources, also for rows alike in id and text."""
+    rows = [(i, "w " * (1 + i % 7), s) for i in range(40) for s in (None, "")] + [(i, "x " * 30, "a") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    units = {r["unit"] for r in got.collect()}
+    assert got.count() == 120 and len(units) == 120
+    taken = {(r["doc_id"], r["source"]): r["copies"] for r in got.collect()}
+    staged = corpus_pipeline.mix_sources(spark, docs, SF).groupBy("doc_id", "source").count().collect()
+    assert {(r["doc_id"], r["source"]): r["count"] for r in staged} == {k: v for k, v in taken.items() if v}
