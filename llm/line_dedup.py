@@ -142,6 +142,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, removed: str = "remov
     id_type = dict(docs.dtypes)["doc_id"]
     kept = docs.drop(removed)
     lines = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(_split(least), f"doc_id {id_type}, row_key long, unit int, high long, low long")
+    lines = scratch.keep(lines)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "unit")
     first = lines.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = scratch.keep(first)
