@@ -26,7 +26,9 @@ from .common import bound_batches, table, with_field
 
 # Element names of HTML by how they behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math object select".split())
+RAW = set("script style textarea title noscript template iframe noembed noframes xmp".split())
+#: Dropped with what is in them if they are closed; if not, up to the first block.
+DRAWN = set("svg select".split())
 BLOCK = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "legend li main menu nav ol p pre search section summary table caption colgroup thead tbody tfoot tr td th ul".split()
@@ -51,13 +53,15 @@ TAG_KINDS = ["p", "heading", "list", "li", "div", "section", "article", "main",
 KIND_OF = {**{f"h{k}": "heading" for k in range(1, 7)}, "hgroup": "heading", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "dt": "li", "dd": "li", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "search": "form", **{t: "table" for t in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption")}}
 KIND_NO = {k: i for i, k in enumerate(TAG_KINDS)}
 HINT_NO = {k: i for i, k in enumerate(HINTS)}
+TAG_HINT = {t: 1 << HINT_NO[k] for t, k in {"nav": "menu", "header": "edge", "footer": "edge", "aside": "side", "form": "form", "search": "form", "article": "text", "main": "text"}.items()}
 HINT_OF_TOKEN = {t: i for k, i in HINT_NO.items() for t in HINTS[k]}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r""">|=\s*["']""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW_END = {t: re.compile(f"</{t}[^>]*(?:>|\\Z)", re.I) for t in RAW}
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I) for t in RAW | DRAWN}
+_BLOCK_TAG = re.compile(f"</?(?:{'|'.join(sorted(BLOCK))})(?=[\\s/>])", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
@@ -91,18 +95,74 @@ def _hints(raw: str) -> tuple[int, bool]:
     return bits, hidden
 
 
+class _Open:
+    """The open elements as a stack of (tag, block), and where the last of each tag stands."""
+
+    def __init__(self):
+        self.stack: list[tuple[str | None, int]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, block: int) -> None:
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, block))
+
+    def last(self, *tags: str) -> int:
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+    def cut(self, k: int) -> None:
+        """Close everything from place ``k``."""
+        while len(self.stack) > k:
+            tag, _ = self.stack.pop()
+            if tag is not None:
+                self.at[tag].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
+    def drop(self, tag: str) -> None:
+        """Close the last ``tag``, an inline element, and leave what is open in it."""
+        self.stack[self.at[tag].pop()] = (None, self.stack[-1][1])
+        while self.stack[-1][0] is None:
+            self.stack.pop()
+
+    def links(self) -> bool:
+        return bool(self.at.get("a"))
+
+
+def _tag_end(page: str, at: int, unpaired: set[str]) -> int:
+    """Where the tag ends whose name ends at ``at``: past its ``>``, or -1.
+
+    A quote after an equals sign holds up to its pair; one without a pair is as any letter.
+    """
+    while m := _STOP.search(page, at):
+        if m.group() == ">":
+            return m.end()
+        quote, at = m.group()[-1], m.end()
+        end = -1 if quote in unpaired else page.find(quote, at)
+        if end < 0:
+            unpaired.add(quote)
+        else:
+            at = end + 1
+    return -1
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order and (node, text) units; tolerant of bad nesting."""
+    """Block nodes in page order and (node, text) units; tolerant of bad nesting.
+
+    One pass: every character is looked at a fixed number of times, and the open elements
+    are found by their last places, so time grows with the length of the page alone.
+    """
     nodes = [Node("html", -1, 0, 0, False)]
     units: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block they are in
-    pieces: list[str] = []
-    link = 0
+    open_ = _Open()
+    open_.push("html", 0)
+    stack, pieces, unpaired = open_.stack, [], set()
 
     def flush() -> None:
         if pieces:
-            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-            text = " ".join(text.split())
+            text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 at = stack[-1][1]
                 nodes[at].units.append(len(units))
@@ -110,45 +170,60 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pieces.clear()
 
     def close(k: int) -> None:
-        nonlocal link
         flush()
-        for tag, _ in stack[k:]:
-            link -= tag == "a"
-        del stack[k:]
+        open_.cut(k)
 
     def add(text: str) -> None:
         pieces.append(text)
-        if link:
+        if open_.links():
             nodes[stack[-1][1]].links += len(text)
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            if at < len(page):
-                add(page[at:])
+    at, size = 0, len(page)
+    while at < size:
+        mark = page.find("<", at)
+        if mark != at:
+            add(page[at:] if mark < 0 else page[at:mark])
+        if mark < 0:
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None or not m[4]:
-            continue  # a comment, a declaration or a tag cut off by the end
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCK:
-                        close(k)
-                    else:
-                        link -= tag == "a"
-                        del stack[k]
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break
+        sign = page[mark + 1 : mark + 2]
+        ends = sign == "/"
+        name = _NAME.match(page, mark + 1 + ends)
+        if name is None:
+            if page.startswith("<!--", mark):
+                end = page.find("-->", mark + 4)
+                at = size if end < 0 else end + 3
+            elif sign and sign in "!?/":
+                end = page.find(">", mark)
+                at = size if end < 0 else end + 1
+            else:
+                add("<")
+                at = mark + 1
+            continue
+        at = _tag_end(page, name.end(), unpaired)
+        if at < 0:
+            break  # a tag cut off by the end
+        tag = name.group().lower()
+        if ends:
+            k = open_.last(tag)
+            if k > 0 and tag in BLOCK:
+                close(k)
+            elif k > 0 and open_.blocks[-1] < k:
+                open_.drop(tag)
             continue
+        attributes = page[name.end() : at - 1]
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else size
+            continue
+        if tag in DRAWN:
+            if not attributes.endswith("/"):
+                end = None if tag in unpaired else _RAW_END[tag].search(page, at)
+                if end is None:
+                    unpaired.add(tag)
+                    end = _BLOCK_TAG.search(page, at)
+                    at = end.start() if end else size
+                else:
+                    at = end.end()
             continue
         if tag in VOID:
             if tag == "br":
@@ -157,32 +232,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "table", "button"):
-                    break
+            k = open_.last("p")
+            if k > open_.last("td", "th", "table", "button"):
+                close(k)
         if tag in ENDS:
             what, within = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in what:
-                    close(k)
-                    break
+            inside = open_.last(*within)
+            # What is open inside the container: the outermost goes for rows, so cells go with them.
+            k = open_.last(*what)
+            if k > inside:
+                if tag == "tr" and open_.last("tr") > inside:
+                    k = min(k, open_.last("tr"))
+                close(k)
         if tag not in BLOCK:
             nodes[stack[-1][1]].inline += 1
-            link += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            open_.push(tag, stack[-1][1])
             continue
         flush()
         if tag == "html":
             continue
         parent = stack[-1][1]
-        bits, hidden = _hints(m[3])
+        bits, hidden = _hints(attributes)
         nodes[parent].children.append(len(nodes))
-        stack.append((tag, len(nodes)))
+        open_.push(tag, len(nodes))
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, bits, hidden))
     close(1)
     flush()
@@ -196,53 +268,53 @@ def node_features(nodes: list[Node], units: list[tuple[int, str]]) -> np.ndarray
     """A row of features for each node."""
     n, h, t = len(nodes), len(HINTS), len(TAG_KINDS)
     out = np.zeros((n, N_FEATURES), np.float32)
-    text, marks, words = np.zeros(n), np.zeros(n), np.zeros(n)
-    links, tags, paras = np.array([float(x.links) for x in nodes]), np.array([1.0 + x.inline for x in nodes]), np.zeros(n)
-    seen, kinds = [0] * n, [0] * n
-    before, done = np.zeros(n), 0
-    first = [0] * n
-    for k, (at, s) in enumerate(units):
+    parent = [x.parent for x in nodes]
+    text, words, marks = [0] * n, [0] * n, [0] * n
+    for at, s in units:
         text[at] += len(s)
         words[at] += s.count(" ") + 1
         marks[at] += s.count(".") + s.count(",") + s.count("?") + s.count("!")
-    own = text.copy()
+    links, tags, paras = [x.links for x in nodes], [1 + x.inline for x in nodes], [int(x.tag == "p") for x in nodes]
+    own = np.array(text, np.float64)
+    seen, above = [0] * n, [0] * n
     for k, x in enumerate(nodes):
-        kind = KIND_NO.get(KIND_OF.get(x.tag, x.tag), KIND_NO["other"])
-        kinds[k] = kind
-        out[k, kind] = 1
-        up = seen[x.parent] if x.parent >= 0 else 0
-        hint = x.hints | (1 << HINT_NO["menu"] if x.tag == "nav" else 0) | (1 << HINT_NO["edge"] if x.tag in ("header", "footer") else 0) | (1 << HINT_NO["side"] if x.tag == "aside" else 0) | (1 << HINT_NO["form"] if x.tag in ("form", "search") else 0) | (1 << HINT_NO["text"] if x.tag in ("article", "main") else 0)
-        seen[k] = hint | up
-        for b in range(h):
-            out[k, t + b] = x.hints >> b & 1
-            out[k, t + h + b] = up >> b & 1
-        before[k] = done
-        done += own[k]
-        first[k] = k
-        paras[k] = x.tag == "p"
-    below = np.zeros(n, np.int64)
+        above[k] = seen[parent[k]] if k else 0
+        seen[k] = x.hints | TAG_HINT.get(x.tag, 0) | above[k]
+    below = [0] * n
     for k in range(n - 1, 0, -1):
-        p = nodes[k].parent
+        p = parent[k]
         below[p] |= seen[k]
-        for a in (text, words, marks, links, tags, paras):
-            a[p] += a[k]
-    total = max(1.0, text[0])
-    base = t + 2 * h
-    for b in range(h):
-        out[:, base + b] = below >> b & 1
-    base += h
-    size = np.maximum(1.0, text)
-    depth = np.array([x.depth for x in nodes])
-    out[:, base : base + 12] = np.stack((np.log1p(text), np.log1p(own), np.log1p(words), links / size, tags / size, marks / size, text / np.maximum(1, words), np.log1p(paras), text / total, before / total, depth, np.array([x.hidden for x in nodes])), axis=1)
+        text[p] += text[k]
+        words[p] += words[k]
+        marks[p] += marks[k]
+        links[p] += links[k]
+        tags[p] += tags[k]
+        paras[p] += paras[k]
+    text, words, marks, links, tags, paras = (np.array(a, np.float64) for a in (text, words, marks, links, tags, paras))
+    kinds = np.array([KIND_NO.get(KIND_OF.get(x.tag, x.tag), KIND_NO["other"]) for x in nodes])
+    out[np.arange(n), kinds] = 1
+    base = t
+    for bits in (np.array([x.hints for x in nodes]), np.array(above), np.array(below)):
+        for b in range(h):
+            out[:, base + b] = bits >> b & 1
+        base += h
+    size, total = np.maximum(1.0, text), max(1.0, text[0])
+    before = np.concatenate(([0.0], np.cumsum(own)[:-1]))
+    depth, hidden = np.array([x.depth for x in nodes]), np.array([x.hidden for x in nodes])
+    out[:, base : base + 12] = np.stack((np.log1p(text), np.log1p(own), np.log1p(words), links / size, tags / size, marks / size, text / np.maximum(1, words), np.log1p(paras), text / total, before / total, depth, hidden), axis=1)
     base += 12
-    for k, x in enumerate(nodes):
-        if x.children:
-            c = x.children
-            sizes = text[c]
-            mean = sizes.mean()
-            for i, ch in enumerate(c):
-                same = sum(kinds[o] == kinds[ch] for o in (c if len(c) < 40 else c[max(0, i - 20) : i + 20]))
-                out[ch, base : base + 8] = (i, len(c) - i, len(c), same, sizes[i] / max(1.0, mean), np.log1p(mean), sizes[i - 1] if i else 0, sizes[i + 1] if i + 1 < len(c) else 0)
+    # Siblings: children of one node after another, in page order.
+    child = np.array([c for x in nodes for c in x.children], np.int64)
+    if len(child):
+        of = np.array(parent)[child]
+        many = np.bincount(of, minlength=n)[of]
+        start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        place = np.arange(len(child)) - np.repeat(start, np.diff(np.append(start, len(child))))
+        pair, same = np.unique(of * t + kinds[child], return_inverse=True, return_counts=True)[1:]
+        mean = np.bincount(of, text[child], n)[of] / many
+        left, right = np.zeros(len(child)), np.zeros(len(child))
+        left[1:], right[:-1] = text[child[:-1]] * (place[1:] > 0), text[child[1:]] * (place[1:] > 0)
+        out[child, base : base + 8] = np.stack((place, many - place, many, same[pair], text[child] / np.maximum(1.0, mean), np.log1p(mean), left, right), axis=1)
     return out
 
 
@@ -504,7 +576,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with text (the main text) and n_chars instead of the html.
 
     * null, empty and text-less pages give the empty string; html of any length is read
-      whole; broken, unclosed and cut-off markup is read as far as it goes;
+      whole, in time that grows with its length alone; broken, unclosed and cut-off markup
+      is read as far as it goes;
     * repeated rows get equal texts; own columns named ``text`` and ``n_chars`` are
       replaced; an empty table is fine.  No shuffle.
     """

@@ -4,7 +4,8 @@ Character n-grams of one to three letters are hashed; how many texts hold a buck
 counted over all texts that may be learned from, summed per task before the shuffle.  A
 text's vector is log term frequency times inverse text frequency, scaled to length one.
 Weights are learned with follow-the-regularised-leader and elastic-net penalties on a
-bounded sample, and the scores calibrated by one temperature on a part kept from it.
+bounded sample of distinct texts, those whose hash is under a threshold, and the scores
+calibrated by one temperature on a part kept from it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from .common import bound_batches, crc_mod, table, with_field
 
 SIZES = 3
 BITS = 15
-#: Bound of the texts that weights are learned from.
+#: Bound of the texts that weights are learned from: so many are expected under the hash threshold if no text repeats.
+#: The driver holds four bytes for each distinct n-gram of each, 2 ** BITS at most.
 MAX_SAMPLE = 6000
+#: Steps of the hash threshold.
+STEPS = 1 << 40
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 UNKNOWN = "und"
@@ -74,9 +78,12 @@ def _presence(batches):
 
 
 def _vectors(batches):
+    """Buckets and how often each occurs, as 16-bit numbers; more than 65,535 times count as that."""
+    kinds = pa.list_(pa.uint16())
     for batch in batches:
         both = [counts(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([b for b, _ in both], pa.list_(pa.int32())), pa.array([c for _, c in both], pa.list_(pa.int64()))], ["lang", "f", "c"])
+        lists = [pa.array([x[k].clip(max=65_535).astype(np.uint16) for x in both], kinds).cast(pa.list_(pa.int16()), safe=False) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), *lists], ["lang", "f", "c"])
 
 
 def vector(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -134,16 +141,21 @@ def train(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> dict:
     df[held.column("bucket").to_numpy()] = held.column("n").to_numpy()
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 1
-    sample = known.orderBy(F.xxhash64("text"), "text").limit(max_sample)
-    got = sample.select("text", "lang").repartition(24).mapInArrow(_vectors, "lang string, f array<int>, c array<long>").toArrow()
+    # A third of all rows may hold one text: a text counts once, and the partial step drops its copies before the shuffle.
+    place = F.pmod(F.xxhash64("text"), F.lit(STEPS))
+    sample = known.withColumn("place", place).where(F.col("place") < F.lit(int(STEPS * min(1.0, max_sample / max(1.0, total))))).dropDuplicates(["place", "lang"])
+    got = sample.repartition(24, "place").select("text", "lang").mapInArrow(_vectors, "lang string, f array<short>, c array<short>").toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     if not langs:
         return {"langs": [], "idf": idf, "w": np.zeros(((1 << BITS) + 1, 0)), "t": 1.0}
     f, c = got.column("f").combine_chunks(), got.column("c").combine_chunks()
     ends = list(zip(f.offsets.to_numpy(), f.offsets.to_numpy()[1:]))
-    fv, cv = f.values.to_numpy(), c.values.to_numpy()
-    rows = [(fv[a:b], vector(fv[a:b], cv[a:b], idf)) for a, b in ends]
-    y = np.array([langs.index(x) for x in got.column("lang").to_pylist()])
+    fv, cv = f.values.to_numpy().view(np.uint16), c.values.to_numpy().view(np.uint16)
+    rows = [(fv[a:b].astype(np.int64), vector(fv[a:b], cv[a:b], idf)) for a, b in ends]
+    said = [langs.index(x) for x in got.column("lang").to_pylist()]
+    # The order in which rows came is left to chance: their own is by what they hold.
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i][0]), int(rows[i][0].sum()), float(rows[i][1].sum()), said[i]))
+    rows, y = [rows[i] for i in order], np.array([said[i] for i in order])
     fit = np.array([int(r[0].sum()) % 5 != 0 for r in rows])
     w = ftrl([r for r, k in zip(rows, fit) if k], y[fit], len(langs))
     kept = [(w[r[0]] * r[1][:, None]).sum(axis=0) + 0.2 * w[-1] for r, k in zip(rows, fit) if not k]
@@ -166,8 +178,9 @@ def predict_text(text: str | None, model: dict) -> tuple[str, float]:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred and score.
 
-    Null texts and texts without letter are ``und`` with score 0; repeated rows are
-    judged alike; own columns of these names are replaced; an empty table is fine.
+    Null texts and texts without letter are ``und`` with score 0; a very long text is read
+    whole by one worker; repeated rows are judged alike; own columns of these names are
+    replaced; an empty table is fine.
     """
     spark = docs.sparkSession
     bound_batches(spark)

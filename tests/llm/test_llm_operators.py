@@ -314,10 +314,42 @@ def test_neighbours(spark):
         hit += len(set(want) & set(mine.vec_id))
     assert hit >= 0.97 * 10 * len(queries)
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == list(range(100, 110))
+    tight = ann.neighbours(df, F.col("vec_id") % 50 == 0, cell_rows=128, fit_rows=16).toPandas()  # two cells in parts
+    assert tight.groupby("query_id").size().eq(10).all() and tight[tight.query_id == 0].sort_values("rank").vec_id.tolist() == list(range(100, 110))
     few = ann.neighbours(df.where("vec_id < 4"), F.col("vec_id") == 0)
     assert few.count() == 3 and ann.neighbours(empty(df), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_ties_across_cells(spark):
+    """Binary vectors: many at the same distance, in different cells; the smaller id goes first."""
+    rng = np.random.RandomState(3)
+    v = np.unique(rng.randint(0, 2, (3000, 12)), axis=0).astype(float)
+    v = v[v.any(axis=1)]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, F.col("vec_id") % 100 == 0, cell_rows=64, sure=0.9999).toPandas()
+    for q in range(0, len(v), 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(len(v)), d))[:10].tolist()
+
+
+def test_neighbours_recall_of_the_query(spark):
+    """op7 with its own parameters against brute force, and the share of vectors that its test verifies."""
+    sf = "/root/testdata/sf0.1"
+    got = ann.op7_neighbours(spark, sf).toPandas()
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    rows = rows[[x is not None and len(x) == 64 and np.isfinite(np.array(x, float)).all() and np.any(x) for x in rows.embedding]]
+    v, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        hit += len(set(want) & set(got[got.query_id == ids[q]].vec_id))
+        total += 10
+    assert total and hit >= 0.93 * total
+
+
 def test_toxicity(odd, spark):
     labels = spark.createDataFrame([(1, 1), (7, 0), (9, 0), (9, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
@@ -342,6 +374,139 @@ def test_html(spark):
     assert [r["text"] for r in got] == ["T\nSome words here."] * 2 + [""] * 3 and got[0]["n_chars"] == 18 and html_text.extract(empty(df)).count() == 0
 
 
+def test_html_keeps_and_drops(spark):
+    told = {
+        "<p>a <math><mi>x</mi></math> b</p>": ["a x b"], "one<svg/>two three": ["onetwo three"], "one<svg><text>no</text></svg>two": ["onetwo"], "<svg><g>x<p>three</p>": ["three"],
+        '<p title="it>y</p>': ["y"], "<p it's>x</p>": ["x"], '<a href="x>y">l</a>t': ["lt"], "a < b </3 c </> d": ["a < b d"], "<object>o</object>": ["o"], "<script>a<b</script >z": ["z"],
+        "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": ["a", "b", "c", "d"], "<table><tr><td>1<td>2<tr><td>3</table>": ["1", "2", "3"], "<p>a<b>c<p>d</b>e": ["ac", "de"], "x<!-- a > b -->y": ["xy"], "text <b": ["text"],
+    }
+    assert {page: [s for _, s in html_text.parse(page)[1]] for page in told} == told
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<li><ul><div>", '<p title="x', "<b>", "<svg>", "<", "<!-- ", "<table><tr><td>", "<i><p></i>", "<select>x", "</div>", "='"])
+def test_html_time_grows_with_length(piece):
+    """Ten times the page takes about ten times as long: no piece of markup is looked at again and again."""
+    import time
+
+    def took(size):
+        page = piece * (size // len(piece)) + '"'
+        began = time.process_time()
+        html_text.parse(page)
+        return time.process_time() - began
+
+    assert took(1_000_000) < 30 * max(took(100_000), 0.02)
+
+
+def test_html_decoding_against_all_labellings():
+    """On small trees the labelling is the best of all that keep no block in a dropped one."""
+    import itertools
+
+    rng = np.random.RandomState(12)
+    for _ in range(60):
+        n = rng.randint(2, 7)
+        nodes = [html_text.Node("div", -1 if k == 0 else rng.randint(0, k), 0, 0, False) for k in range(n)]
+        for k in range(1, n):
+            nodes[nodes[k].parent].children.append(k)
+        units = [(k, "x" * rng.randint(1, 90)) for k in range(n) if rng.rand() < 0.8]
+        odds = rng.standard_normal(n) * 2
+        own = np.bincount([k for k, _ in units], [len(s) for _, s in units], n) if units else np.zeros(n)
+        weight = np.where(own > 0, 1 + np.log1p(own) / 4, 0.25)
+        yes, no = -np.logaddexp(0, -odds) * weight, -np.logaddexp(0, odds) * weight
+        best = (-np.inf, None)
+        for labels in itertools.product((0, 1, 2), repeat=n):  # dropped, kept, mixed
+            if any(labels[k] == 2 and not nodes[k].children for k in range(n)) or any(labels[nodes[k].parent] != 2 and labels[k] != labels[nodes[k].parent] for k in range(1, n)):
+                continue
+            total = sum((no[k], yes[k], -html_text.MIXED_COST + (max(yes[k], no[k]) if own[k] else 0.0))[labels[k]] for k in range(n))
+            best = max(best, (total, labels))
+        want = [best[1][k] == 1 or (best[1][k] == 2 and odds[k] > 0) for k, _ in units]
+        assert html_text.decode(nodes, units, odds).tolist() == want
+
+
+def test_html_on_made_pages(spark):
+    """Words of made pages that the trees never saw: of what is given, and of the article, nearly all are right."""
+    maker, trees = html_text.page_maker(99), html_text.model()
+    exact = right = given = real = 0
+    for _ in range(200):
+        page = maker.page()
+        want = [s.replace(maker.MARK, "") for _, s in html_text.parse(page)[1] if s.startswith(maker.MARK)]
+        got = html_text.main_texts([page.replace(maker.MARK, "")], trees)[0].split("\n")
+        exact += got == (want or [""])
+        both = set(got) & set(want)
+        right, given, real = right + sum(map(len, both)), given + sum(map(len, got)), real + sum(map(len, want))
+    assert exact >= 140 and right >= 0.95 * given and right >= 0.95 * real
+    pages = html_text.op1_main_text(spark, SF).toPandas()
+    assert len(pages) == spark.read.parquet(f"{SF}/pages.parquet").count() and (pages.n_chars == pages.text.str.len()).all()
+
+
+def test_language_training_against_plain_dictionaries():
+    """FTRL-proximal, written row by row and weight by weight."""
+    rng = np.random.RandomState(1)
+    rows = [(np.sort(rng.choice(50, 8, replace=False)), rng.rand(8)) for _ in range(40)]
+    y = rng.randint(0, 3, 40)
+    got = language_id.ftrl(rows, y, 3)
+    z, n, w = {}, {}, {}
+    order = np.random.RandomState(5)
+    bias = 1 << language_id.BITS
+    for _ in range(language_id.EPOCHS):
+        for i in order.permutation(40):
+            x = {**dict(zip(rows[i][0].tolist(), rows[i][1].tolist())), bias: 0.2}
+            score = [sum(v * w.get((f, c), 0.0) for f, v in x.items()) for c in range(3)]
+            chance = np.exp(np.array(score) - max(score))
+            chance /= chance.sum()
+            for f, v in x.items():
+                for c in range(3):
+                    g, old = v * (chance[c] - (c == y[i])), n.get((f, c), 0.0)
+                    n[f, c] = old + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (np.sqrt(n[f, c]) - np.sqrt(old)) / language_id.ALPHA * w.get((f, c), 0.0)
+                    small = abs(z[f, c]) <= language_id.L1
+                    w[f, c] = 0.0 if small else -(z[f, c] - np.sign(z[f, c]) * language_id.L1) / ((language_id.BETA + np.sqrt(n[f, c])) / language_id.ALPHA + language_id.L2)
+    for (f, c), value in w.items():
+        assert abs(got[f, c] - value) < 1e-9
+    assert np.count_nonzero(got) == sum(v != 0 for v in w.values())
+
+
+def test_toxicity_query(spark):
+    """op8 as it is asked for: what it says, ratios by plain counts, and unseen toxic rows found."""
+    out = toxicity.op8_toxicity(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    import zlib
+
+    assert len(out) == len(docs) and out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.3).astype(int)).all()
+    assert (out.held_out == out.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
+    texts, marks = ["you are bad bad", "a good day", "bad"], [1, 0, 1]
+    held = [set(toxicity.features(t).tolist()) for t in texts]
+    for f in set.union(*held):
+        pos, neg = sum(f in h for h, m in zip(held, marks) if m), sum(f in h for h, m in zip(held, marks) if not m)
+        want = np.log(((pos + 1) / (2 + 2)) / ((neg + 1) / (1 + 2)))
+        assert abs(float(toxicity.log_ratio(np.array([pos]), np.array([neg]), 2, 1)[0]) - want) < 1e-12
+
+
+def test_tiff_query(spark):
+    """op9's columns against hashlib and zlib over the texts themselves."""
+    import zlib
+
+    out = tiff.op9_tiff(spark, SF).toPandas().set_index("doc_id")
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw = (r["text"] or "").encode()
+        whole = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        got = out.loc[r["doc_id"]]
+        assert (got.n_bytes, got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        media = tiff.write_page(whole, 64)
+        assert (got.media_bytes, got.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_bpe_query(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.word_vocabulary())
+    out = bpe.op4_bpe(spark, SF).toPandas().set_index("doc_id")
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = lib.encode(r["text"] or "", add_special_tokens=False).ids
+        got = out.loc[r["doc_id"]]
+        assert got.n_tokens == len(ids) and got.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
