@@ -12,8 +12,9 @@ branch on, but two kinds end early, with every pair that matters still compared:
 
 * a crowd, nearly all of one component that is already known: its outsiders are compared
   with all of it, in blocks (``_crowd_blocks``); a node of one component has no pair to tell;
-* a node of up to ``WHOLE`` sets, or one that is larger after ``LEVELS``: it is cut in
-  blocks and each two blocks are a task of their own (``_block_pairs``).
+* a node of up to ``WHOLE`` sets that ``FEW`` levels have not made small, as its sets are
+  alike, or one that is larger after ``LEVELS``: it is cut in blocks and each two blocks
+  are a task of their own (``_block_pairs``).
 
 Components known from the start come from a backbone: sets in order of a short run of
 tokens, each linked with the one before it if the full sets say so.  That order is a range
@@ -39,7 +40,8 @@ POSITIONS = 128
 TREES = 4
 LEAF = 400
 WHOLE = 4000
-LEVELS = 8
+BLOCK = 1000
+FEW, LEVELS = 3, 8
 #: Runs of tokens that the backbone goes by, and their length.
 RUNS, RUN = 6, 3
 #: Four standard deviations below 0.8 for 128 positions: one pair in 30,000 at 0.8 is estimated lower.
@@ -243,7 +245,7 @@ def _confirm(percent: int):
 
 def _block_pairs(nodes: DataFrame) -> DataFrame:
     """Rows (node, cls) of a task for each two blocks of a node; rows (node, cls, m) of nodes over ``LEAF``."""
-    n = F.ceil(F.col("m") / (LEAF // 2)).cast("int")
+    n = F.greatest(F.lit(2), F.ceil(F.col("m") / BLOCK)).cast("int")
     dealt = nodes.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("own <> other")
     return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls")
@@ -277,7 +279,7 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
         sized = scratch.keep(rows.join(sizes, "node").withColumn("inside", F.col("comp") == F.col("most")))
         small = F.col("m") <= LEAF
         crowd = ~small & (F.col("m") * F.col("m") - F.col("alike") <= 2 * LEAF * F.col("m"))
-        last = ~small & ~crowd & (F.lit(level == LEVELS) | (F.col("m") <= WHOLE))
+        last = ~small & ~crowd & (F.lit(level == LEVELS) | (F.lit(level >= FEW) & (F.col("m") <= WHOLE)))
         leaf = sized.where(small).select("node", "cls").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last)))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         large = sized.where(~small & ~crowd & ~last)
