@@ -18,6 +18,8 @@ from .sources import readers, writers
 
 HOUR = 3_600_000_000
 GAP = 6 * HOUR
+#: Seconds are counted from here, so that doubles hold microseconds.
+ZERO = 1_700_000_000_000_000
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -232,20 +234,20 @@ def interpolate_weights(spark, d):
 
 def _holes(spark, d):
     e = tracks(spark, d).withColumn("weight", F.lit(1.0))
-    s = lambda c: F.when(F.col("event_type") != "purchase", F.col(c).cast("double") / 1e6)
+    s = lambda c: F.when(F.col("event_type") != "purchase", (F.col(c) - ZERO) / 1e6)
     return e.select("event_id", "user_id", F.col("start").alias("at"), s("start").alias("start"), s("end").alias("end"), "weight")
 
 
 @query
 def fill_missing_islands(spark, d):
     out = timing.fill_missing(_holes(spark, d), ["user_id"], ["at", "event_id"])
-    return out.select("event_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+    return out.select("event_id", F.round("start", 7).alias("start"), F.round("end", 7).alias("end"))
 
 
 @query
 def enforce_monotonic(spark, d):
-    e = tracks(spark, d).select("event_id", "user_id", (F.col("start") / 1e6).alias("start"), (F.col("end") / 1e6).alias("end"))
-    return timing.enforce_monotonic(e, ["user_id"], ["start", "event_id"]).select("event_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+    e = tracks(spark, d).select("event_id", "user_id", ((F.col("start") - ZERO) / 1e6).alias("start"), ((F.col("end") - ZERO) / 1e6).alias("end"))
+    return timing.enforce_monotonic(e, ["user_id"], ["start", "event_id"]).select("event_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 @query
@@ -444,10 +446,11 @@ def normalize_curve(spark, d):
 
 @query
 def cosine_similarity(spark, d):
+    """Likeness of every vector to the mean of its label, as a take's voice to its speaker's."""
     e = t(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    b = e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.join(b, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", (F.round(speakers.cosine(F.col("a"), F.col("b")), 4) + 0.0).alias("sim"))
+    center = speakers.centroids(e, "label", "embedding")
+    sim = speakers.cosine(F.col("embedding"), F.col("center"))
+    return e.join(center, "label").select("vec_id", "label", (F.round(sim, 4) + 0.0).alias("sim"))
 
 
 @query

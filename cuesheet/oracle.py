@@ -97,14 +97,21 @@ p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS U
 SELECT user_id, part, min(start) AS start, max("end") AS "end", count(*)::BIGINT AS n FROM p GROUP BY user_id, part""",
     "interpolate_weights": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) AS done FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(100 * (done - q) / total, 6) AS start, round(100 * done / total, 6) AS "end" FROM x""",
-    "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN start / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN "end" / 1e6 END AS "end" FROM tracks),
+    "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   first_value(start IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM h),
 n AS (SELECT *, count(*) OVER (PARTITION BY user_id, run, timed) AS total, row_number() OVER (PARTITION BY user_id, run, timed ORDER BY t0, event_id) AS done FROM r),
-l AS (SELECT *, coalesce(before, greatest(0.0, after - total * 0.25), 0.0) AS low FROM n),
-b AS (SELECT *, CASE WHEN after IS NULL THEN low + total * 0.25 ELSE greatest(low, after) END - low AS span FROM l)
-SELECT event_id, round(CASE WHEN timed THEN start ELSE low + span * ((done - 1) / total) END, 4) AS start, round(CASE WHEN timed THEN "end" ELSE low + span * (done / total) END, 4) AS "end" FROM b""",
+q AS (SELECT *, last_value(CASE WHEN timed THEN start END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_start,
+  coalesce(NOT timed AND after - before < 1e-3, false) AS tight FROM n),
+l AS (SELECT *, CASE WHEN tight THEN greatest(before_start, before - total * 0.04) ELSE coalesce(before, greatest(0.0, after - total * 0.25), 0.0) END AS low FROM q),
+b AS (SELECT *, CASE WHEN after IS NULL THEN low + total * 0.25 WHEN tight THEN greatest(before, after) ELSE greatest(low, after) END - low AS span,
+  lead(CASE WHEN tight THEN low END) OVER (PARTITION BY user_id ORDER BY t0, event_id) AS taken FROM l)
+SELECT event_id, round(CASE WHEN timed THEN start ELSE low + span * (done - 1) / total END, 7) AS start, round(CASE WHEN timed THEN coalesce(taken, "end") ELSE low + span * done / total END, 7) AS "end" FROM b""",
+    "enforce_monotonic": f"""WITH RECURSIVE {TRACKS}, o AS (SELECT event_id, user_id, (start - 1700000000000000) / 1e6 AS s, ("end" - 1700000000000000) / 1e6 AS e, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS k FROM tracks),
+p AS (SELECT event_id, user_id, k, greatest(s, 0.0::DOUBLE) AS a, greatest(e, greatest(s, 0.0::DOUBLE) + 0.02) AS b FROM o WHERE k = 1 UNION ALL
+  SELECT o.event_id, o.user_id, o.k, greatest(o.s, p.b), greatest(o.e, greatest(o.s, p.b) + 0.02) FROM p JOIN o ON o.user_id = p.user_id AND o.k = p.k + 1)
+SELECT event_id, round(a, 6) AS start, round(b, 6) AS "end" FROM p""",
     "merge_intervals": f"""WITH {TRACKS}, r AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM tracks),
 i AS (SELECT *, sum(CASE WHEN start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT user_id, min(start) AS start, max("end") AS "end", count(*)::BIGINT AS n FROM i GROUP BY user_id, island""",
@@ -131,7 +138,9 @@ p AS (SELECT * FROM c WHERE x = high AND x >= mean + 2.0 AND x > 0), g AS (SELEC
     "active_segments": f"""WITH {TRACKS}, h AS (SELECT start // {HOUR} AS i, count(*) AS x FROM tracks GROUP BY 1), l AS (SELECT i, CASE WHEN i - lag(i) OVER (ORDER BY i) - 1 < 2 THEN 0 ELSE 1 END AS new FROM h WHERE x > 13),
 r AS (SELECT i, sum(new) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT min(i)::BIGINT AS first, (max(i) + 1)::BIGINT AS last FROM r GROUP BY run HAVING max(i) + 1 - min(i) >= 2""",
     "normalize_curve": f"""WITH {TRACKS}, h AS (SELECT start // {HOUR} AS i, count(*)::DOUBLE AS x FROM tracks GROUP BY 1) SELECT i::BIGINT AS i, round(least(1.5, x / (SELECT quantile_cont(x, 0.97) FROM h)) / 1.5, 6) AS norm FROM h""",
-    "cosine_similarity": "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0::DOUBLE AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60",
+    "cosine_similarity": """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS center FROM m GROUP BY label)
+SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], center), 4) + 0.0::DOUBLE AS sim FROM embeddings JOIN c USING (label)""",
     "label_centroids": "WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, i::BIGINT AS i, round(avg(x), 5) AS x FROM x GROUP BY label, i",
     "nearest_labelled": f"""WITH {TRACKS}, x AS (SELECT e.event_id, p.event_id AS near_id, abs(p.start - e.start) AS away, p.start AS p_start FROM tracks e LEFT JOIN tracks p ON p.user_id = e.user_id AND p.event_type = 'purchase' WHERE e.event_type = 'error'),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY away, p_start, near_id DESC) AS k FROM x) SELECT event_id, near_id FROM r WHERE k = 1""",
