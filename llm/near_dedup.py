@@ -21,8 +21,9 @@ tokens, each linked with the one before it if the full sets say so.  That order
 partitioning, so a run that a third of all sets share spreads over many tasks.
 
 Equal sets are one class from the start, so a hundred thousand copies cost one row.
-A leaf with many candidate pairs first gives a sparse part of them; after these
-are confirmed, only pairs between components that are still apart are given.
+A leaf gives at most ``DENSE`` candidate pairs a set.  One with more is compared again on
+the full sets themselves, which are brought to it, and gives only pairs that join two of
+its components, fewer than it has sets; so no step has rows for all pairs of a crowd.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ BLOCK = 1000
 FEW, LEVELS = 3, 8
 #: Runs of tokens that the backbone goes by, and their length.
 RUNS, RUN = 6, 3
+#: Candidate pairs a set beyond which a leaf is dense; shingles of a task that holds full sets, 8 bytes each.
+DENSE = 4
+SHINGLES = 4_000_000
 #: Four standard deviations below 0.8 for 128 positions: one pair in 30,000 at 0.8 is estimated lower.
 SKETCH_MARGIN = 0.142
 
@@ -154,43 +158,53 @@ def _groups(batches, key: str):
         yield rest
 
 
-def _compare(floor: float, ratio: float, sparse: bool):
-    """Candidate pairs of each leaf between components; a dense leaf also gives a row with its node alone."""
+class _Leaf:
+    """The sets of a leaf, those of small components first: the largest has no pairs of its own to look at."""
+
+    def __init__(self, t: pa.Table, floor: float, ratio: float):
+        comp = t.column("comp").to_pylist()
+        place = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        group = np.array([place[c] for c in comp])
+        self.rank = np.lexsort((group, np.bincount(group)[group]))
+        self.group = group[self.rank]
+        self.cls = t.column("cls").take(pa.array(self.rank)).to_pylist()
+        self.n = t.column("n").to_numpy()[self.rank].astype(np.float64)
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, POSITIONS)[self.rank]
+        self.floor, self.ratio = floor, ratio
+        #: From here on all sets are of one component.
+        self.until = int(np.flatnonzero(self.group != self.group[-1])[-1]) + 1 if len(place) > 1 else 0
+
+    def near(self, i: int) -> np.ndarray:
+        """Later sets of other components whose sketch and size may be similar enough to set ``i``."""
+        alike = (self.sketch[i + 1 :] == self.sketch[i]).sum(axis=1) >= self.floor * POSITIONS
+        low, high = np.minimum(self.n[i + 1 :], self.n[i]), np.maximum(self.n[i + 1 :], self.n[i])
+        return np.flatnonzero(alike & (low >= self.ratio * high - 1e-9) & (self.group[i + 1 :] != self.group[i])) + i + 1
+
+
+def _compare(floor: float, ratio: float):
+    """Candidate pairs of each leaf between components; a dense leaf gives a row with its node alone."""
 
     def run(batches):
         node, left, right = [], [], []
         for t in _groups(batches, "node"):
-            m = t.num_rows
-            comp = t.column("comp").to_pylist()
-            place = {c: k for k, c in enumerate(dict.fromkeys(comp))}
-            if len(place) < 2:
-                continue
-            group = np.array([place[c] for c in comp])
-            # Small components first: the largest has no pairs of its own to look at.
-            rank = np.lexsort((group, np.bincount(group)[group]))
-            group = group[rank]
-            cls = t.column("cls").take(pa.array(rank)).to_pylist()
-            n = t.column("n").to_numpy()[rank].astype(np.float64)
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(m, POSITIONS)[rank]
-            aa, bb, ee = [], [], []
-            for i in range(int(np.flatnonzero(group != group[-1])[-1]) + 1):
-                near = (sk[i + 1 :] == sk[i]).sum(axis=1) / POSITIONS
-                low, high = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
-                j = np.flatnonzero((near >= floor) & (low >= ratio * high - 1e-9) & (group[i + 1 :] != group[i]))
-                aa.append(np.full(len(j), i))
-                bb.append(j + i + 1)
-                ee.append(near[j])
-            a, b, e = np.concatenate(aa), np.concatenate(bb), np.concatenate(ee)
-            if sparse and len(a) > 4 * m:
-                a, b = _sparse(a, b, e)
-                node.append(t.column("node")[0].as_py())
-                left.append(None)
-                right.append(None)
-            for i, j in zip(a.tolist(), b.tolist()):
-                x, y = sorted((cls[i], cls[j]))
-                node.append(None)
-                left.append(x)
-                right.append(y)
+            leaf = _Leaf(t, floor, ratio)
+            found, pairs = [], 0
+            for i in range(leaf.until):
+                j = leaf.near(i)
+                found.append(j)
+                pairs += len(j)
+                if pairs > DENSE * t.num_rows:
+                    node.append(t.column("node")[0].as_py())
+                    left.append(None)
+                    right.append(None)
+                    break
+            else:
+                for i, near in enumerate(found):
+                    for j in near.tolist():
+                        x, y = sorted((leaf.cls[i], leaf.cls[j]))
+                        node.append(None)
+                        left.append(x)
+                        right.append(y)
             if len(left) > 20_000:
                 yield _pairs(node, left, right)
                 node, left, right = [], [], []
@@ -199,18 +213,42 @@ def _compare(floor: float, ratio: float, sparse: bool):
     return run
 
 
-def _sparse(a, b, e):
-    """Of a dense leaf's pairs: each set's most alike partner and its first partner."""
-    take = set()
-    order = np.lexsort((a + b, -e))
-    ends = np.concatenate((a[order], b[order]))
-    pair = np.concatenate((order, order))
-    rank = np.argsort(np.concatenate((np.arange(len(order)), np.arange(len(order)))), kind="stable")
-    ends, pair = ends[rank], pair[rank]
-    take.update(pair[np.unique(ends, return_index=True)[1]].tolist())
-    take.update(np.unique(b, return_index=True)[1].tolist())
-    keep = np.array(sorted(take))
-    return a[keep], b[keep]
+def _linked(floor: float, ratio: float, percent: int):
+    """Pairs of full sets that are linked and join two components of their leaf, as a forest."""
+
+    def run(batches):
+        for t in _groups(batches, "node"):
+            leaf = _Leaf(t, floor, ratio)
+            held = [np.frombuffer(x, np.uint64) for x in t.column("members").take(pa.array(leaf.rank)).to_pylist()]
+            size = np.array([len(x) for x in held])
+            ids = np.unique(np.concatenate(held), return_inverse=True)[1].astype(np.int32)
+            edge = np.concatenate(([0], np.cumsum(size)))
+            mark, group = np.zeros(int(ids.max()) + 1, bool), leaf.group
+            left, right = [], []
+            for i in range(leaf.until):
+                mine = ids[edge[i] : edge[i + 1]]
+                mark[mine] = True
+                for j in _by_size(leaf.near(i), size):
+                    j = j[group[j] != group[i]]
+                    if not len(j):
+                        continue
+                    hits = mark[np.concatenate([ids[edge[k] : edge[k + 1]] for k in j.tolist()])]
+                    both = np.add.reduceat(hits, np.concatenate(([0], np.cumsum(size[j])[:-1])), dtype=np.int64)
+                    for k in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
+                        if group[k] != group[i]:
+                            left.append(min(leaf.cls[i], leaf.cls[k]))
+                            right.append(max(leaf.cls[i], leaf.cls[k]))
+                            group[group == group[k]] = group[i]
+                mark[mine] = False
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _by_size(rows: np.ndarray, size: np.ndarray, most: int = 1_000_000):
+    """``rows`` in parts of about ``most`` shingles together."""
+    if len(rows):
+        yield from np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // most)) + 1)
 
 
 def _pairs(node, left, right):
@@ -243,9 +281,9 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(nodes: DataFrame) -> DataFrame:
-    """Rows (node, cls) of a task for each two blocks of a node; rows (node, cls, m) of nodes over ``LEAF``."""
-    n = F.greatest(F.lit(2), F.ceil(F.col("m") / BLOCK)).cast("int")
+def _block_pairs(nodes: DataFrame, blocks) -> DataFrame:
+    """Rows (node, cls) of a task for each two of a node's ``blocks``, two at least; rows (node, cls, ...)."""
+    n = F.greatest(F.lit(2), F.ceil(blocks)).cast("int")
     dealt = nodes.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("own <> other")
     return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls")
@@ -280,7 +318,7 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
         small = F.col("m") <= LEAF
         crowd = ~small & (F.col("m") * F.col("m") - F.col("alike") <= 2 * LEAF * F.col("m"))
         last = ~small & ~crowd & (F.lit(level == LEVELS) | (F.lit(level >= FEW) & (F.col("m") <= WHOLE)))
-        leaf = sized.where(small).select("node", "cls").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last)))
+        leaf = sized.where(small).select("node", "cls").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last), F.col("m") / BLOCK))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         large = sized.where(~small & ~crowd & ~last)
         if large.isEmpty():
@@ -370,20 +408,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     least = sigs.select("cls", "n", "sketch")
     floor, ratio = percent / 100 - SKETCH_MARGIN, percent / 100
 
-    def candidates(leaf: DataFrame, comps: DataFrame, sparse: bool) -> DataFrame:
-        dealt = leaf.join(least.join(comps, "cls"), "cls").repartition("node").sortWithinPartitions("node", "cls")
-        found = dealt.select("node", "cls", "n", "sketch", "comp").mapInArrow(_compare(floor, ratio, sparse), "dense long, a binary, b binary")
-        return scratch.keep(found)
+    def full_sets(ends: DataFrame) -> DataFrame:
+        """(cls, members) of the classes ``ends`` (cls), from their texts."""
+        ids = ends.join(sigs.select("cls", "doc_id"), "cls").select("doc_id").distinct()
+        texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+        return scratch.keep(texts.mapInArrow(_sets(width), "cls binary, members binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with whether their full sets are linked."""
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        ids = ends.join(sigs.select("cls", "doc_id"), "cls").select("doc_id").distinct()
-        texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(width), "cls binary, members binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
-        sets = scratch.keep(sets)
-        joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
-        return scratch.keep(joined.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"))
+        sets = full_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b")
+        return scratch.keep(both.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"))
+
+    def by_node(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node", "cls").select("node", "cls", "n", "sketch", "comp", *more)
+
+    def again(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links (a, b) of the leaves ``nodes`` (node) between components that are still apart."""
+        rows = leaves.join(nodes, "node", "left_semi").join(least.join(comps, "cls"), "cls")
+        live = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("total")).where("low <> high").select("node", "total")
+        rows = scratch.keep(rows.join(live, "node"))
+        small = F.col("total") <= SHINGLES
+        split = _block_pairs(rows.where(~small).select("node", "cls", "total"), F.col("total") / (SHINGLES // 2)).join(least.join(comps, "cls"), "cls")
+        rows = rows.where(small).select("node", "cls", "n", "sketch", "comp").unionByName(split.select("node", "cls", "n", "sketch", "comp"))
+        sets = full_sets(rows.select("cls").distinct())
+        return scratch.keep(by_node(rows.join(sets, "cls"), "members").mapInArrow(_linked(floor, ratio, percent), "a binary, b binary").distinct())
 
     def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
         """(cls, comp) after ``links`` (a, b): components of components."""
@@ -398,18 +447,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
     checked = confirmed(scratch.keep(_backbone(sigs, floor, ratio)))
     comps = joined(comps, checked.where("linked"))
     leaves = _trees(sigs.select("cls", "sig").join(comps, "cls"), scratch, seed)
-    found = candidates(leaves, comps, True)
-    fresh_pairs = scratch.keep(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
-    if not fresh_pairs.isEmpty():
-        more = confirmed(fresh_pairs)
-        comps = joined(comps, more.where("linked"))
-        checked = checked.unionByName(more)
+    found = scratch.keep(by_node(leaves.join(least.join(comps, "cls"), "cls")).mapInArrow(_compare(floor, ratio), "dense long, a binary, b binary"))
+    more = scratch.keep(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        comps = joined(comps, confirmed(more).where("linked"))
     dense = found.where("dense is not null").select(F.col("dense").alias("node")).distinct()
     if not dense.isEmpty():
-        again = candidates(leaves.join(dense, "node", "left_semi"), comps, False).where("a is not null").select("a", "b").distinct()
-        again = scratch.keep(again.join(checked, ["a", "b"], "left_anti"))
-        if not again.isEmpty():
-            comps = joined(comps, confirmed(again).where("linked"))
+        comps = joined(comps, again(dense, comps))
     lowest = scratch.keep(sigs.select("cls", "doc_id").join(comps.withColumnRenamed("comp", "root"), "cls"))
     of_root = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.keep(lowest.join(of_root, "root").select("cls", "component_id", F.col("root").alias("class_id")))
