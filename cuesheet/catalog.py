@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import oracle
+from .functions import numbers, speech, syllables
 from .functions import text as tx
 from .functions import time as tm
-from .operators import align, cut, frames, layout, rank, screen, speakers, timing
+from .operators import align, cut, frames, layout, rank, recognition, screen, sentences, speakers, timing
 from .plans import flagship as plan
 from .schema import flatten, from_json, nest, to_json
 from .sources import readers, writers
@@ -136,6 +137,87 @@ def text_widths(spark, d):
     return t(spark, d, "benchmark").select("item_id", tx.text_width("text").cast("long").alias("width"))
 
 
+# Numbers, speech and sentences ------------------------------------------------------------
+
+
+@query
+def numbers_in_words(spark, d):
+    n = F.col("o_orderkey") * 7919
+    return t(spark, d, "orders").select("o_orderkey", numbers.en_integer(n).alias("en"), numbers.cn_integer(n).alias("cn"), numbers.cn_integer(n, False).alias("cn_plain"), numbers.cn_digits(F.col("o_orderkey").cast("string")).alias("digits"))
+
+
+@query
+def numbers_read(spark, d):
+    """Dates, shares, money and ranges of every line item, as they are read in Chinese."""
+    li = t(spark, d, "lineitem")
+    said = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" ¥"), F.format_string("%.2f", F.col("l_extendedprice").cast("double")), F.lit(" "), F.round(F.col("l_discount") * 100, 0).cast("int"), F.lit("% "), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + 2, F.lit("人"))
+    return li.select("l_orderkey", "l_linenumber", numbers.numbers_read(said).alias("said"))
+
+
+@query
+def spoken_scripts(spark, d):
+    p = speech.prepare(F.col("text"), F.lit("en"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", "p.text", F.explode("p.segments").alias("s"))
+    return c.groupBy("conv_id", "turn").agg(F.md5(F.first("text")).alias("digest"), F.count(F.lit(1)).alias("n_segments"), F.round(F.sum("s.pause_after"), 2).alias("pauses"))
+
+
+@query
+def syllable_profile(spark, d):
+    units = syllables.profile(t(spark, d, "benchmark").withColumn("lang", F.lit("en")), ["item_id"])
+    return syllables.count(units, ["item_id"])
+
+
+@query
+def syllable_position(spark, d):
+    units = syllables.profile(t(spark, d, "benchmark").withColumn("lang", F.lit("es")), ["item_id"])
+    return syllables.position(units, ["item_id"], F.lit(100)).select("item_id", "position")
+
+
+@query
+def sentence_split(spark, d):
+    s = t(spark, d, "documents").select("doc_id", F.posexplode(sentences.from_text(F.col("text"), F.lit("en"))).alias("no", "s"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).cast("long").alias("longest"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "s"))), lambda x: x["s"]), "|")).alias("digest"))
+
+
+def _turn_lines(spark, d):
+    none = F.lit(None).cast("array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>")
+    s = _segments(spark, d).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), "text", "start", "end", F.col("role").alias("speaker"))
+    return s.withColumn("tokens", none).withColumn("times", F.array().cast("array<struct<offset:int,start:double>>"))
+
+
+@query
+def joined_lines(spark, d):
+    out = sentences.joined_lines(_turn_lines(spark, d).withColumn("speaker", F.lit("x")), most=25.0, gap=9.0)
+    return out.select("doc_id", "id", F.md5("text").alias("digest"), "start", F.round("end", 6).alias("end"))
+
+
+@query
+def timeline_words(spark, d):
+    w = sentences.timeline(_turn_lines(spark, d))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(F.col("space")).alias("spaces"))
+
+
+@query
+def resegment(spark, d):
+    out = sentences.resegment(sentences.timeline(_turn_lines(spark, d)))
+    return out.select("doc_id", "id", F.md5("text").alias("digest"), "start", "end", "n_words")
+
+
+@query
+def anchors(spark, d):
+    a = t(spark, d, "benchmark").select("item_id", F.posexplode(sentences.heuristic_anchors(F.col("text"))).alias("k", "a"))
+    return a.select("item_id", "k", "a.text", "a.offset")
+
+
+@query
+def recognised_tokens(spark, d):
+    """Turns as a recogniser gives them, a word each 0.25 s; the tokens share its time out."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("word_no", "w"))
+    words = c.select("conv_id", "turn", "word_no", F.concat(F.lit(" "), "w").alias("text"), (F.col("word_no") * 0.25).alias("start"), (F.col("word_no") * 0.25 + 0.25).alias("end"), F.lit(0.5).alias("prob"))
+    tokens = recognition.segment_tokens(words, ["conv_id", "turn"])
+    return tokens.groupBy("conv_id", "turn").agg(F.max("end").alias("end"), F.round(F.sum(F.col("end") - F.col("start")), 6).alias("length"), F.count_if(F.col("space_after")).alias("spaces"))
+
+
 # Time stamps and formats -------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.numbers import DIGITS, GROUPS, LIANG, ONES, PLACES, SCALES, SHORTEN, TENS
 from .functions.text import CREDIT, VOWELS, WORD
 from .operators.screen import STRONG, WEAK
 
@@ -34,6 +35,27 @@ def cs(ms: str) -> str:
     return f"round_even({ms} / 1000.0::DOUBLE * 100, 0)::BIGINT"
 
 
+def in_english(n: str) -> str:
+    """SQL of a whole number above 0 in words."""
+    word = lambda words, k: f"list_extract({list(words)}, ({k}) + 1)"
+
+    def group(x: str) -> str:
+        low = f"CASE WHEN {x} % 100 < 20 THEN {word(ONES, f'{x} % 100')} ELSE {word(['', '', *TENS], f'{x} % 100 // 10')} || CASE WHEN {x} % 10 > 0 THEN '-' || {word(ONES, f'{x} % 10')} ELSE '' END END"
+        return f"concat_ws(' ', CASE WHEN {x} >= 100 THEN {word(ONES, f'{x} // 100')} || ' hundred' END, CASE WHEN {x} % 100 > 0 THEN {low} END)"
+
+    parts = [f"CASE WHEN {n} // {d} % 1000 > 0 THEN {group(f'({n} // {d} % 1000)')} || ' {name}' END" for d, name in SCALES]
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE concat_ws(' ', {', '.join(parts)}, CASE WHEN {n} % 1000 > 0 THEN {group(f'({n} % 1000)')} END) END"
+
+
+def in_chinese(n: str, liang: bool) -> str:
+    """SQL of a whole number in Chinese: every digit with its unit, then the rewriting rules."""
+    k = f"(length({n}::VARCHAR) - i)"
+    said = f"list_reduce(list_transform(range(1, length({n}::VARCHAR) + 1), lambda i: translate(substring({n}::VARCHAR, i, 1), '0123456789', '{DIGITS}') || list_extract({list(PLACES)}, {k} % 4 + 1) || CASE WHEN {k} % 4 = 0 THEN list_extract({list(GROUPS)}, {k} // 4 + 1) ELSE '' END), lambda a, b: a || b)"
+    for pattern, to in (*SHORTEN, *(LIANG if liang else ())):
+        said = f"regexp_replace({said}, '{pattern}', '{to}', 'g')"
+    return said
+
+
 def written(row: str, joiner: str = "chr(10)", head: str = "", tail: str = "", source: str = "cues") -> str:
     text = f"'{head}' || string_agg({row}, {joiner} ORDER BY line_no) || {tail or chr(39) * 2}"
     return f"WITH {CUES}, texts AS (SELECT user_id, {text} AS text FROM {source} GROUP BY user_id) SELECT user_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM texts"
@@ -97,6 +119,16 @@ p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS U
 SELECT user_id, part, min(start) AS start, max("end") AS "end", count(*)::BIGINT AS n FROM p GROUP BY user_id, part""",
     "interpolate_weights": """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity ROWS UNBOUNDED PRECEDING) AS done FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(100 * (done - q) / total, 6) AS start, round(100 * done / total, 6) AS "end" FROM x""",
+    "numbers_in_words": f"""WITH x AS (SELECT o_orderkey, o_orderkey * 7919 AS n FROM orders)
+SELECT o_orderkey, {in_english('n')} AS en, {in_chinese('n', True)} AS cn, {in_chinese('n', False)} AS cn_plain, translate(o_orderkey::VARCHAR, '0123456789', '{DIGITS}') AS digits FROM x""",
+    "sentence_split": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS a FROM documents),
+m AS (SELECT doc_id, a, string_split(regexp_replace(trim(line), '([.!?…;])\\s+(["''“‘(]?[A-Z0-9À-ɏ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM l WHERE trim(line) <> ''),
+s AS (SELECT doc_id, a, trim(unnest(ss)) AS s, generate_subscripts(ss, 1) AS b FROM m)
+SELECT doc_id, count(*)::BIGINT AS n, max(length(s))::BIGINT AS longest, md5(string_agg(s, '|' ORDER BY a, b)) AS digest FROM s WHERE s <> '' GROUP BY doc_id""",
+    "timeline_words": """WITH w AS (SELECT conv_id, turn, (turn * 10)::DOUBLE AS a, turn * 10 + least(10.0, length(text) / 12.0::DOUBLE) AS b, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations WHERE trim(text) <> '')
+SELECT conv_id AS doc_id, sum(n)::BIGINT AS n, min(a) AS start, round_even(max(b), 3) AS "end", (sum(n) - 1)::BIGINT AS spaces FROM w GROUP BY conv_id""",
+    "recognised_tokens": """WITH w AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations)
+SELECT conv_id, turn, n * 0.25::DOUBLE AS "end", round(n * 0.25::DOUBLE, 6) AS length, (n - 1)::BIGINT AS spaces FROM w WHERE n > 0""",
     "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
