@@ -48,6 +48,8 @@ RUNS, RUN = 6, 3
 #: Candidate pairs a set beyond which a leaf is dense; shingles of a task that holds full sets, 8 bytes each.
 DENSE = 4
 SHINGLES = 4_000_000
+#: Links that one task joins by itself, 32 bytes each; more are joined by rounds of tables, with the same roots.
+SMALL_LINKS = 500_000
 #: Four standard deviations below 0.8 for 128 positions: one pair in 30,000 at 0.8 is estimated lower.
 SKETCH_MARGIN = 0.142
 
@@ -362,11 +364,32 @@ def _agree(floor: float):
     return run
 
 
+def _union(batches):
+    """(v, root) of all links that come, the least of a component its root."""
+    up: dict[bytes, bytes] = {}
+
+    def root(v: bytes) -> bytes:
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(v) for v in up], pa.binary())], ["v", "root"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root) for each end of ``edges`` (a, b): hooks to the least neighbour, then jumps.
+    """(v, root) for each end of the table ``edges`` (a, b), root the least of a component.
 
-    Works on tables in the shared folder; no edge reaches the driver.
+    Few links are joined by one executor task; else each vertex hooks to its least
+    neighbour and jumps, round by round, on tables in the shared folder.  No edge
+    reaches the driver.
     """
+    if edges.count() <= SMALL_LINKS:
+        return scratch.keep(edges.select("a", "b").coalesce(1).mapInArrow(_union, "v binary, root binary"))
     both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     state = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).select("v", F.least("v", "l").alias("root")))
     while True:
@@ -443,7 +466,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         reach = components(edges, scratch)
         return scratch.keep(comps.join(reach, comps["comp"] == reach["v"], "left").select("cls", F.coalesce("root", "comp").alias("comp")))
 
-    comps = scratch.keep(sigs.select("cls", F.col("cls").alias("comp")))
+    comps = sigs.select("cls", F.col("cls").alias("comp"))
     checked = confirmed(scratch.keep(_backbone(sigs, floor, ratio)))
     comps = joined(comps, checked.where("linked"))
     leaves = _trees(sigs.select("cls", "sig").join(comps, "cls"), scratch, seed)

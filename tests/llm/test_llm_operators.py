@@ -93,6 +93,20 @@ def test_near_dedup_crowds_against_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == fast_components(texts, 4, 80)
 
 
+def test_components_either_way(spark, monkeypatch):
+    """Chains, stars and loops: one task and rounds of tables give the same roots."""
+    rng = np.random.RandomState(1)
+    pairs = {(a, b) for a, b in rng.randint(0, 300, (220, 2)).tolist() if a != b} | {(k, k + 1) for k in range(400, 440)} | {(500, k) for k in range(501, 560)}
+    name = lambda k: int(k).to_bytes(4, "big")
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary")
+    got = []
+    for small in (10**6, 0):
+        monkeypatch.setattr(near_dedup, "SMALL_LINKS", small)
+        got.append({bytes(r["v"]): bytes(r["root"]) for r in near_dedup.components(edges, near_dedup.Scratch(spark, "t")).collect()})
+    assert got[0] == got[1] and len(set(got[0].values())) > 3 and all(r <= v for v, r in got[0].items())
+    assert all(got[0][name(a)] == got[0][name(b)] for a, b in pairs)
+
+
 def fast_components(texts, width, percent):
     """Components by comparing every two texts' shingle sets through a 0/1 matrix product."""
     sets = [near_dedup.shingle_set(t.encode(), width) for t in texts]
