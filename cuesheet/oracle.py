@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .functions.numbers import DIGITS, GROUPS, LIANG, ONES, PLACES, SCALES, SHORTEN, TENS
 from .functions.text import CREDIT, VOWELS, WORD
+from .functions.style import ass_head, make_style
+from .operators.layout import LAYOUTS
 from .operators.screen import STRONG, WEAK
 
 HOUR = 3_600_000_000
+ASS_HEAD = ass_head(make_style("karaoke").adapt_to_layout(LAYOUTS["landscape"]), LAYOUTS["landscape"], "cuesheet")
 TRACKS = """tracks AS (
   SELECT event_id, user_id, event_type, value, epoch_us(ts) AS start, epoch_us(ts) + floor(abs(value) * 1000000)::BIGINT + 1 AS "end" FROM events)"""
 CUES = (
@@ -66,6 +69,22 @@ NL = "chr(10)"
 BY = "[by:cuesheet]\n"
 GONE = f"CASE WHEN nxt IS NULL OR nxt / 1000.0::DOUBLE - b / 1000.0::DOUBLE >= 2.0 THEN chr(10) || '[' || {stamp(cs('b'))} || ']' ELSE '' END"
 
+def _vtt(ms: str) -> str:
+    return clock(ms, "%02d:%02d:%02d.%03d")
+
+
+#: Cues as the ASS writer shows them: from, until, and the karaoke clock of their two tokens.
+ASS_CUES = """, shown AS (SELECT *, a / 1000.0::DOUBLE AS s, b / 1000.0::DOUBLE AS e, m / 1000.0::DOUBLE AS h FROM cues),
+around AS (SELECT *, lag(e) OVER w AS e0, lead(s) OVER w AS s1 FROM shown WINDOW w AS (PARTITION BY user_id ORDER BY line_no)),
+timed AS (SELECT *, least(s, greatest(coalesce(e0, 0.0::DOUBLE), s - 0.6::DOUBLE)) AS from_t, CASE WHEN s1 IS NULL THEN e + 0.3::DOUBLE ELSE least(e + 0.3::DOUBLE, greatest(e, s1)) END AS until_t FROM around),
+clocked AS (SELECT *, round_even((s - from_t) * 100, 0)::BIGINT AS k0, round_even((h - from_t) * 100, 0)::BIGINT AS k1, round_even((e - from_t) * 100, 0)::BIGINT AS k2 FROM timed)"""
+
+
+def ass_stamp(t: str) -> str:
+    cs = f"round_even({t} * 100, 0)::BIGINT"
+    return f"printf('%d:%02d:%02d.%02d', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
+
+
 SQL: dict[str, str] = {
     "flagship": f"""WITH {LINES}, words AS (
   SELECT doc_id, line_no, list_transform(regexp_extract_all(line, '{WORD.replace("'", "''")}'), lambda w: regexp_replace(lower(w), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) AS ks FROM lines),
@@ -129,6 +148,29 @@ SELECT doc_id, count(*)::BIGINT AS n, max(length(s))::BIGINT AS longest, md5(str
 SELECT conv_id AS doc_id, sum(n)::BIGINT AS n, min(a) AS start, round_even(max(b), 3) AS "end", (sum(n) - 1)::BIGINT AS spaces FROM w GROUP BY conv_id""",
     "recognised_tokens": """WITH w AS (SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations)
 SELECT conv_id, turn, n * 0.25::DOUBLE AS "end", round(n * 0.25::DOUBLE, 6) AS length, (n - 1)::BIGINT AS spaces FROM w WHERE n > 0""",
+    "write_vtt_karaoke": written(f"""{_vtt('a')} || ' --> ' || {_vtt('b')} || chr(10) || '<c>' || event_type || ' </c><' || {_vtt('m')} || '><c>' || event_id || '</c>' || chr(10)""", head="WEBVTT' || chr(10) || chr(10) || 'STYLE' || chr(10) || '::cue(:past) { color: #FFD700; }' || chr(10) || '::cue(:future) { color: #FFFFFF; }' || chr(10) || chr(10) || '"),
+    "write_srt_karaoke": f"""WITH {CUES}, two AS (SELECT user_id, line_no * 2 + 1 AS n, {clock('a')} || ' --> ' || {clock('m')} || chr(10) || '<font color="#FFD700">' || event_type || ' </font>' || event_id || chr(10) AS row FROM cues UNION ALL
+  SELECT user_id, line_no * 2 + 2, {clock('m')} || ' --> ' || {clock('b')} || chr(10) || '<font color="#FFD700">' || line || '</font>' || chr(10) FROM cues),
+texts AS (SELECT user_id, string_agg(n || chr(10) || row, chr(10) ORDER BY n) AS text FROM two GROUP BY user_id) SELECT user_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM texts""",
+    "write_ttml": written(f"""'<p begin="' || {_vtt('a')} || '" end="' || {_vtt('b')} || '"><span begin="' || {_vtt('a')} || '" end="' || {_vtt('m')} || '">' || event_type || '</span> <span begin="' || {_vtt('m')} || '" end="' || {_vtt('b')} || '">' || event_id || '</span></p>'""", head='<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttm="http://www.w3.org/ns/ttml#metadata"><body><div>\' || chr(10) || \'', tail="chr(10) || '</div></body></tt>' || chr(10)"),
+    "write_ttml_line": written(f"""'<p begin="' || {_vtt('a')} || '" end="' || {_vtt('b')} || '">' || line || '</p>'""", head='<tt xmlns="http://www.w3.org/ns/ttml" xmlns:ttm="http://www.w3.org/ns/ttml#metadata"><body><div>\' || chr(10) || \'', tail="chr(10) || '</div></body></tt>' || chr(10)"),
+    "write_ass": f"""WITH {CUES}{ASS_CUES}, rows AS (SELECT user_id, line_no, 'Dialogue: 0,' || {ass_stamp('from_t')} || ',' || {ass_stamp('until_t')} || ',Default,' || event_type || ',0,0,0,,{{\\fad(150,150)}}' ||
+  CASE WHEN k0 > 0 THEN '{{\\kf' || k0 || '}}' ELSE '' END || '{{\\kf' || (k1 - k0) || '}}' || event_type || ' {{\\kf' || (k2 - k1) || '}}' || event_id AS row FROM clocked),
+texts AS (SELECT user_id, '{ASS_HEAD}' || string_agg(row, chr(10) ORDER BY line_no) || chr(10) AS text FROM rows GROUP BY user_id) SELECT user_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM texts""",
+    "clean_punct_subtitle": r"""SELECT conv_id, turn, rtrim(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '([0-9])([,，、;；])([0-9])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), '\s*[,，、;；]\s*', '  ', 'g'), chr(1) || '  ' || chr(1), ','), chr(1), ''), '([^0-9]|^|[0-9])[.。]([^0-9]|$)', '\1 \2', 'g')) AS text FROM conversations""",
+    "frame_plan": """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_quantity::BIGINT + 8 AS n FROM lineitem),
+o AS (SELECT *, sum(n) OVER w AS o1, row_number() OVER w AS k FROM q WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)),
+s AS (SELECT l_orderkey, o1 - n AS o0, o1, l_linenumber * 10 AS off, CASE WHEN k > 1 THEN 4 ELSE 0 END AS fade FROM o),
+n AS (SELECT *, coalesce(lead(fade) OVER (PARTITION BY l_orderkey ORDER BY o0), 0) AS next FROM s),
+b AS (SELECT *, o0 - fade // 2 AS f0, o1 + (next + 1) // 2 AS f1 FROM n), f AS (SELECT *, unnest(range(f0::BIGINT, f1::BIGINT)) AS frame FROM b),
+w AS (SELECT *, CASE WHEN fade > 0 AND frame < f0 + fade THEN (frame - f0 + 0.5::DOUBLE) / fade WHEN next > 0 AND frame >= f1 - next THEN 1 - (frame - (f1 - next) + 0.5::DOUBLE) / next ELSE 1.0 END AS weight FROM f)
+SELECT l_orderkey, frame, count(*)::BIGINT AS n, round(sum(weight), 6) AS weight, sum(frame + off)::BIGINT AS source_sum FROM w GROUP BY l_orderkey, frame""",
+    "merge_small_clusters": """WITH e AS (SELECT CASE WHEN vec_id % 97 = 0 THEN label + 100 ELSE label END AS label, embedding FROM embeddings),
+x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM e), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i),
+c AS (SELECT label, list(x ORDER BY i) AS center FROM m GROUP BY label), t AS (SELECT label, count(*) AS w FROM e GROUP BY label),
+p AS (SELECT a.label, b.label AS large, row_number() OVER (PARTITION BY a.label ORDER BY list_cosine_similarity(ca.center, cb.center) DESC, b.label) AS r
+  FROM t a JOIN c ca USING (label) CROSS JOIN t b JOIN c cb ON cb.label = b.label WHERE a.w < 6 AND b.w >= 6)
+SELECT t.label, coalesce(p.large, t.label) AS "to" FROM t LEFT JOIN p ON p.label = t.label AND p.r = 1""",
     "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.text import split_units, strip_tags, text_format, tokenize, unit_weight
 from ..functions.time import parse_ts
 from ..operators.timing import shift
-from ..schema import TOKENS
+from ..schema import TOKENS, from_json
 from .writers import krc_open
 
 CHUNKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
@@ -273,7 +273,14 @@ def read_ass(df: DataFrame) -> DataFrame:
     return _parsed(df, _ass)
 
 
-READERS = {"srt": read_srt, "vtt": read_srt, "sbv": read_sbv, "txt": read_txt, "lrc": read_lrc, "lrc-enhanced": read_lrc, "lrc-word": read_lrc, "vtt-karaoke": read_srt, "qrc": read_qrc, "yrc": read_yrc, "krc": read_krc, "ass": read_ass, "ttml": read_ttml}
+def read_json(df: DataFrame) -> DataFrame:
+    """Lines of the lossless form; a text that is no JSON gives none."""
+    docs = from_json(df, "text")
+    lines = docs.select("doc_id", F.posexplode("lines").alias("line_no", "l"))
+    return _number(lines.select("doc_id", F.col("line_no").alias("pos"), "l.start", "l.end", "l.tokens", "l.translation"))
+
+
+READERS = {"json": read_json, "srt": read_srt, "vtt": read_srt, "sbv": read_sbv, "txt": read_txt, "lrc": read_lrc, "lrc-enhanced": read_lrc, "lrc-word": read_lrc, "vtt-karaoke": read_srt, "qrc": read_qrc, "yrc": read_yrc, "krc": read_krc, "ass": read_ass, "ttml": read_ttml}
 #: File extensions and their formats.
 EXTENSIONS = {"srt": "srt", "vtt": "vtt", "ass": "ass", "ssa": "ass", "lrc": "lrc", "qrc": "qrc", "krc": "krc", "yrc": "yrc", "ttml": "ttml", "xml": "ttml", "sbv": "sbv", "txt": "txt", "json": "json"}
 

@@ -9,12 +9,16 @@ import json
 import zlib
 from base64 import b64encode
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.style import KARAOKE, StyleConfig, ass_head, make_style, syllable_tags
+from ..functions.text import is_cjk
 from ..functions.time import millis, ts_ass, ts_lrc, ts_sbv, ts_srt, ts_vtt
+from ..operators.layout import LAYOUTS, Layout
 
 TOOL = "cuesheet"
 
@@ -168,31 +172,54 @@ def write_krc_encrypted(lines: DataFrame) -> DataFrame:
     return write_krc(lines).select("doc_id", seal("text").alias("data"))
 
 
-def write_ass(lines: DataFrame, lead_in: float = 0.3) -> DataFrame:
-    """Dialogue events with a karaoke clock in whole centiseconds that never drifts."""
-    shown_from = F.greatest(F.coalesce(F.lag("end").over(_by_doc()), F.lit(0.0)), F.col("start") - lead_in)
-    cues = _cues(lines).withColumn("show", F.least(F.col("start"), shown_from))
-    cs = lambda t: F.bround(t * 100, 0).cast("long")
-    safe = lambda s: F.translate(F.regexp_replace(s, r"\\", "＼"), "{}", "｛｝")
-    n = F.size("tokens")
-    start = F.struct(cs(F.col("show")).alias("at"), F.lit("").alias("out"))
+def write_ass(lines: DataFrame, style: StyleConfig | str = "karaoke", layout: Layout | None = None, bilingual: bool = True, title: str = TOOL, adapt: bool = True) -> DataFrame:
+    """Dialogue events; a karaoke clock in whole centiseconds that never drifts, and syllable effects.
+
+    A line shows up to the style's lead before it is sung, but not before the line before
+    ends, and stays up to its lead after, but not into the next line.  ``breaks``, where
+    lines have them, are rows; ``speaker`` is the event's name.
+    """
+    style = make_style(style) if isinstance(style, str) else style
+    layout = layout or LAYOUTS["landscape"]
+    style = style.adapt_to_layout(layout) if adapt else style
+    e, clock = style.effect, KARAOKE.get(style.effect.karaoke, "")
+    cues = _cues(lines)
+    for name, kind in (("speaker", "string"), ("breaks", "array<int>")):
+        cues = cues if name in cues.columns else cues.withColumn(name, F.lit(None).cast(kind))
+    free = F.coalesce(F.lag("end").over(_by_doc()), F.lit(0.0)) if e.lead_in_ms and clock else F.lit(0.0)
+    gone, after = F.col("end") + e.lead_out_ms / 1000, F.lead("start").over(_by_doc())
+    cues = cues.withColumns({"show": F.least("start", F.greatest(free, F.col("start") - e.lead_in_ms / 1000)), "hide": F.when(after.isNull(), gone).otherwise(F.least(gone, F.greatest("end", after)))})
+    safe = lambda s: F.replace(F.translate(s, "\\{}", "＼｛｝"), F.lit("\n"), F.lit("\\N"))
+    n, show = F.size("tokens"), F.col("show")
+    since = lambda t, unit: F.bround((t - show) * unit, 0).cast("long")
+
+    def told(t, i):
+        """What a token shows, and its start, end and the next one's start."""
+        a = F.coalesce(t["start"], show)
+        b = F.coalesce(t["end"], a)
+        nxt = F.coalesce(F.get("tokens", i + 1)["start"], b)
+        row_ends = F.coalesce(F.array_contains("breaks", i), F.lit(False)) & (i < n - 1)
+        text = F.concat(t["text"], F.when(row_ends, "\n").when(t["space_after"] & (i < n - 1), " ").otherwise(""))
+        return F.struct(safe(text).alias("text"), since(a, 100).alias("a"), since(F.least(b, nxt), 100).alias("b"), syllable_tags(style, since(a, 1000), since(b, 1000)).alias("tags"))
 
     def step(acc, x):
-        t, i = x["t"], x["i"]
-        a, b = F.greatest(acc["at"], cs(t["start"])), F.greatest(acc["at"], cs(t["end"]))
-        gap = a - acc["at"]
-        wait = F.when((gap >= 5) | (i == 0) & (gap > 0), F.concat(F.lit("{\\k"), gap.cast("string"), F.lit("}"))).otherwise("")
-        from_ = F.when((gap >= 5) | (i == 0), a).otherwise(acc["at"])
-        text = F.concat(safe(t["text"]), F.when(t["space_after"] & (i < n - 1), " ").otherwise(""))
-        end = F.greatest(from_, b)
-        return F.struct(end.alias("at"), F.concat(acc["out"], wait, F.lit("{\\kf"), (end - from_).cast("string"), F.lit("}"), text).alias("out"))
-
-    numbered = F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    body = F.aggregate(numbered, start, step)["out"]
-    event = lambda style, text: F.concat(F.lit("Dialogue: 0,"), ts_ass(F.col("show")), F.lit(","), ts_ass(F.col("end")), F.lit(f",{style},,0,0,0,,"), text)
-    row = F.concat_ws("\n", event("Main", body), F.when(F.nullif(F.col("translation"), F.lit("")).isNotNull(), event("Translation", safe(F.col("translation")))))
-    head = "[Script Info]\nScriptType: v4.00+\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize\nStyle: Main,Sans,64\nStyle: Translation,Sans,44\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
-    return _document(cues, row, "\n", head, "\n")
+        gap = F.greatest(F.lit(0).cast("long"), x["a"] - acc["at"])
+        start = acc["at"] + gap
+        end = F.greatest(start, x["b"])
+        wait = F.when(gap > 0, F.concat(F.lit(f"{{{clock}"), gap.cast("string"), F.lit("}"))).otherwise("") if clock else F.lit("")
+        lit = F.concat(F.lit(clock), (end - start).cast("string")) if clock else F.lit("")
+        return F.struct(end.alias("at"), F.concat(acc["out"], wait, F.lit("{"), lit, x["tags"], F.lit("}"), x["text"]).alias("out"))
+
+    if clock or e.syllable != "none":
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+        body = F.aggregate(F.transform("tokens", told), start, step)["out"]
+    else:
+        body = F.array_join(F.transform(F.transform("tokens", told), lambda x: x["text"]), "")
+    fade = f"{{\\fad({e.fade_in_ms},{e.fade_out_ms})}}" if e.fade_in_ms or e.fade_out_ms else ""
+    event = lambda name, who, text: F.concat(F.lit("Dialogue: 0,"), ts_ass(show), F.lit(","), ts_ass(F.col("hide")), F.lit(f",{name},"), who, F.lit(f",0,0,0,,{fade}"), text)
+    other = F.when(F.nullif(F.col("translation"), F.lit("")).isNotNull() & bilingual, event("Translation", F.lit(""), safe(F.col("translation"))))
+    row = F.concat_ws("\n", event("Default", F.coalesce("speaker", F.lit("")), body), other)
+    return _document(cues, row, "\n", ass_head(style, layout, title), "\n")
 
 
 def write_ttml(lines: DataFrame, words: bool = True) -> DataFrame:
@@ -205,20 +232,97 @@ def write_ttml(lines: DataFrame, words: bool = True) -> DataFrame:
     return _document(_cues(lines), row, "\n", head, "\n</div></body></tt>\n")
 
 
-def write_transcript(lines: DataFrame) -> DataFrame:
-    """Markdown by speaker turn, with the time a turn starts."""
-    new = F.when(F.lag("speaker").over(_by_doc()).eqNullSafe(F.col("speaker")), 0).otherwise(1)
-    t = _cues(lines).withColumn("turn", F.sum(new).over(_by_doc().rowsBetween(Window.unboundedPreceding, 0)))
-    texts = F.array_sort(F.collect_list(F.struct("line_no", line_text(F.col("tokens")).alias("s"))))
-    t = t.groupBy("doc_id", "turn").agg(F.min("start").alias("start"), F.first("speaker").alias("speaker"), F.array_join(F.transform(texts, lambda x: x["s"]), " ").alias("s"))
-    clock = F.format_string("%02d:%02d", F.floor(F.col("start") / 60), F.pmod(F.floor("start"), F.lit(60)))
-    row = F.concat(F.lit("**"), F.coalesce(F.concat(F.col("speaker"), F.lit(" ")), F.lit("")), clock, F.lit("** "), F.col("s"))
-    return _document(t.withColumn("line_no", F.col("turn")), row, "\n\n", tail="\n")
+def _minutes(t: Column) -> Column:
+    """mm:ss, with hours where there are some; dashes for no time."""
+    whole = F.floor(F.greatest(F.lit(0.0), t)).cast("long")
+    short = F.format_string("%02d:%02d", F.floor(whole / 60) % 60, whole % 60)
+    return F.when(t.isNull(), "--:--").when(whole >= 3600, F.concat(F.format_string("%02d:", F.floor(whole / 3600)), short)).otherwise(short)
+
+
+# Fixed values of transcripts: marks that end a line, pauses that end a sentence and a paragraph, its longest text.
+ENDED = "，。！？；：、,.!?;:…—）)」』”"
+SENTENCE_PAUSE, PARAGRAPH_PAUSE, PARAGRAPH_CHARS = 0.8, 2.0, 300
+UNTITLED = "Transcript"
+
+
+def paragraphs(lines: DataFrame, pause: float = PARAGRAPH_PAUSE, most: int = PARAGRAPH_CHARS) -> DataFrame:
+    """(doc_id, par_no, speaker, start, end, text, first_line, last_line) of a document's lines.
+
+    A paragraph ends where the speaker changes, at a long pause, or once its text is long;
+    CJK lines without a final mark get one by the pause that follows.  Lines without
+    tokens don't count.
+    """
+    base = lines.where(F.size("tokens") > 0).withColumn("text", F.trim(line_text(F.col("tokens"))))
+    base = base.select("doc_id", "line_no", "start", "end", "text", F.col("speaker") if "speaker" in lines.columns else F.lit(None).cast("string").alias("speaker"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no").astype(object).where(lambda x: x.notna(), None)
+        rows: list[dict] = []
+        for r in pdf.to_dict("records"):
+            p = rows[-1] if rows else None
+            gap = r["start"] - p["end"] if p and r["start"] is not None and p["end"] is not None else 0.0
+            if p is None or p["speaker"] != r["speaker"] or gap >= pause or len(p["text"]) >= most:
+                rows.append({"doc_id": r["doc_id"], "par_no": len(rows), "speaker": r["speaker"], "start": r["start"], "end": r["end"], "text": r["text"], "first_line": r["line_no"], "last_line": r["line_no"]})
+                continue
+            said = p["text"]
+            if said and r["text"] and is_cjk(said[-1]) and said[-1] not in ENDED:
+                said += "。" if gap >= SENTENCE_PAUSE else "，"
+            space = said and r["text"] and not is_cjk(said[-1]) and not is_cjk(r["text"][0])
+            p["text"] = said + " " * bool(space) + r["text"]
+            p["last_line"] = r["line_no"]
+            p["end"] = p["end"] if r["end"] is None else r["end"]
+        return pd.DataFrame(rows, columns=["doc_id", "par_no", "speaker", "start", "end", "text", "first_line", "last_line"])
+
+    kinds = dict(base.dtypes)
+    return base.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, par_no int, speaker string, start double, end double, text string, first_line {kinds['line_no']}, last_line {kinds['line_no']}")
+
+
+def write_transcript(lines: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Markdown: a title, how long it is, and paragraphs with who speaks and when.
+
+    ``metadata`` (doc_id, title, speakers) is optional; a document without a title is a
+    transcript.
+    """
+    p = paragraphs(lines)
+    who = F.when(F.coalesce("speaker", F.lit("")) != "", F.concat(F.lit("**"), F.col("speaker"), F.lit("**  "))).otherwise("")
+    row = F.concat(who, F.lit("`"), _minutes(F.col("start")), F.lit("`\n\n"), F.col("text"), F.lit("\n"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("par_no", row.alias("row")))), lambda r: r["row"]), "\n")
+    body = p.groupBy("doc_id").agg(rows.alias("body"))
+    head = lines.groupBy("doc_id").agg(F.max("end").alias("length"))
+    if metadata is not None:
+        head = head.join(metadata.select("doc_id", "title", "speakers"), "doc_id", "left")
+    else:
+        head = head.withColumns({"title": F.lit(None).cast("string"), "speakers": F.lit(None).cast("int")})
+    info = F.concat(F.lit("# "), F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)), F.lit("\n\n> length "), _minutes(F.coalesce("length", F.lit(0.0))), F.when(F.col("speakers") > 0, F.format_string(" · %d speakers", "speakers")).otherwise(""), F.lit("\n\n"))
+    return head.join(body, "doc_id", "left").select("doc_id", F.concat(info, F.coalesce("body", F.lit(""))).alias("text"))
+
+
+#: Keys of a document's metadata and their LRC tags (fixed values).
+LRC_TAGS = {"title": "ti", "artist": "ar", "album": "al", "author": "au", "by": "by", "lyricist": "lr"}
+
+
+def with_header(texts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """LRC texts of ``write_lrc`` and its kin with the tags of ``metadata`` (doc_id, metadata: map)."""
+    m = F.col("metadata")
+    tag = lambda k, t: F.when(F.coalesce(m[k], F.lit("")) != "", F.concat(F.lit(f"[{t}:"), m[k], F.lit("]\n"))).otherwise("")
+    own = F.coalesce(m["by"], F.lit("")) != ""
+    head = F.concat(*[tag(k, t) for k, t in LRC_TAGS.items()], F.when(own, "").otherwise(f"[by:{TOOL}]\n"))
+    bare = F.regexp_replace("text", f"^\\[by:{TOOL}\\]\n", "")
+    return texts.join(metadata.select("doc_id", "metadata"), "doc_id", "left").select("doc_id", F.when(m.isNull(), F.col("text")).otherwise(F.concat(head, bare)).alias("text"))
+
+
+def write_json(lines: DataFrame) -> DataFrame:
+    """The lossless form: nested lines as JSON."""
+    given = lambda n, kind: F.col(n) if n in lines.columns else F.lit(None).cast(kind)
+    line = F.struct("start", "end", "tokens", given("translation", "string").alias("translation"), given("speaker", "string").alias("speaker"), given("breaks", "array<int>").alias("breaks"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.to_json(line).alias("l")))), lambda x: x["l"])
+    text = F.concat(F.lit('{"kind":"speech","lines":['), F.array_join(ordered, ","), F.lit("]}"))
+    return lines.groupBy("doc_id").agg(text.alias("text"))
 
 
 WRITERS = {
     "srt": write_srt, "srt-karaoke": write_srt_karaoke, "vtt": write_vtt, "vtt-karaoke": write_vtt_karaoke, "sbv": write_sbv, "txt": write_txt, "lrc": write_lrc, "lrc-enhanced": write_lrc_enhanced,
-    "lrc-word": write_lrc_word, "qrc": write_qrc, "yrc": write_yrc, "krc": write_krc, "krc-encrypted": write_krc_encrypted, "ass": write_ass, "ttml": write_ttml, "ttml-line": lambda x: write_ttml(x, False), "transcript": write_transcript,
+    "lrc-word": write_lrc_word, "qrc": write_qrc, "yrc": write_yrc, "krc": write_krc, "krc-encrypted": write_krc_encrypted, "ass": write_ass, "ttml": write_ttml, "ttml-line": lambda x: write_ttml(x, False), "transcript": write_transcript, "json": write_json,
 }
 
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.catalog import ORACLE, QUERIES
+from cuesheet.functions import style
 from cuesheet.functions.time import parse_ts, ts_ass, ts_lrc, ts_srt
 from cuesheet.operators import cut, timing
+from cuesheet.operators.layout import get_layout
 from cuesheet.operators.speakers import upgma
 from cuesheet.sources import readers, writers
 from cuesheet.streaming import sessions
@@ -125,7 +127,7 @@ def test_srt_and_sniffing(spark):
         writers.write(df, "nothing")
 
 
-@pytest.mark.parametrize("fmt", ["srt", "vtt", "sbv", "lrc", "lrc-enhanced", "lrc-word", "qrc", "yrc", "krc", "ass", "ttml", "vtt-karaoke"])
+@pytest.mark.parametrize("fmt", ["json", "srt", "vtt", "sbv", "lrc", "lrc-enhanced", "lrc-word", "qrc", "yrc", "krc", "ass", "ttml", "vtt-karaoke"])
 def test_round_trip(spark, fmt):
     token = "array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>"
     lines = spark.createDataFrame([(1, 0, 1.0, 2.0, [("Hello", 1.0, 1.5, 1.0, True), ("world", 1.5, 2.0, 1.0, False)], None, None), (1, 1, 4.0, 5.0, [("你", 4.0, 4.4, 1.0, False), ("好", 4.4, 5.0, 1.0, False)], None, None)], f"doc_id long, line_no int, start double, end double, tokens {token}, translation string, speaker string")
@@ -136,6 +138,45 @@ def test_round_trip(spark, fmt):
         assert [t["start"] for r in got for t in r["tokens"]] == pytest.approx([1, 1.5, 4, 4.4], abs=0.011)
 
 
+def test_json_is_told_and_read(spark):
+    token = "array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>"
+    lines = spark.createDataFrame([(1, 0, 1.0, 2.0, [("Rain", 1.0, 2.0, 1.0, False)], "pluie", "A")], f"doc_id int, line_no int, start double, end double, tokens {token}, translation string, speaker string")
+    got = readers.read(writers.write(lines, "json").unionByName(spark.createDataFrame([(2, "{no json \"lines\"")], "doc_id int, text string"))).collect()
+    assert [(r["doc_id"], r["tokens"][0]["text"], r["translation"], r["start"]) for r in got] == [(1, "Rain", "pluie", 1.0)]
+
+
+def test_styles_and_effects(spark):
+    assert style.ass_color("#10203040") == "&HBF302010" and style.ass_color("&h00ff00&") == "&H00FF00" and style.ass_color_tag("#FFD34D") == "&H4DD3FF&"
+    with pytest.raises(ValueError):
+        style.make_style("none such")
+    with pytest.raises(ValueError):
+        style.make_style("box", {"main": {"weight": 1}})
+    wide = style.make_style("neon", {"main": {"fontsize": 80}}).adapt_to_layout(get_layout("1080x1920"))
+    assert wide.main.fontsize == 64 and wide.translation.fontsize == 35 and wide.main.margin_v == 420 and wide.translation.margin_v == 376 and wide.effect.syllable == "glow" and style.style_to_dict(wide)["main"]["name"] == "Default"
+    assert get_layout("square", font_size=40, units=30, max_lines=3).max_units == 30 and get_layout("640x360").font_size == 21
+    token = "array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>"
+    lines = spark.createDataFrame([(1, 0, 1.0, 2.0, [("a{b}", 1.0, 1.2, 1.0, True), ("c", 1.5, 2.0, 1.0, False)], "x\ny", "Al", [0]), (1, 1, 2.1, 3.0, [("d", 2.1, 3.0, 1.0, False)], None, None, None)], f"doc_id int, line_no int, start double, end double, tokens {token}, translation string, speaker string, breaks array<int>")
+    rows = lambda **k: [r for r in writers.write_ass(lines, **k).first()["text"].split("\n") if r.startswith("Dialogue")]
+    assert rows(style="default") == ["Dialogue: 0,0:00:01.00,0:00:02.00,Default,Al,0,0,0,,a｛b｝\\Nc", "Dialogue: 0,0:00:01.00,0:00:02.00,Translation,,0,0,0,,x\\Ny", "Dialogue: 0,0:00:02.10,0:00:03.00,Default,,0,0,0,,d"]
+    assert rows(bilingual=False)[0] == "Dialogue: 0,0:00:00.40,0:00:02.10,Default,Al,0,0,0,,{\\fad(150,150)}{\\kf60}{\\kf20}a｛b｝\\N{\\kf30}{\\kf50}c"
+    for name, tag in (("karaoke-pop", "{\\k20\\fscx100\\fscy100\\t(500,580,\\fscx118\\fscy118)\\t(580,740,\\fscx100\\fscy100)}a"), ("bounce", "{\\k20\\fscy100\\t(300,390,\\fscy130)\\t(390,530,\\fscy100)}a"), ("neon", "{\\kf20\\3c&HFFB700&\\blur0.6\\t(500,560,\\3c&HFFE500&\\blur8)\\t(700,950,\\3c&HFFB700&\\blur0.6)}a"), ("typewriter", "{\\alpha&HFF&\\t(0,1,\\alpha&H00&)}a")):
+        assert tag in rows(style=name)[0]
+
+
+def test_transcripts(spark):
+    token = lambda s: [(s, 0.0, 1.0, 1.0, False)]
+    rows = [(1, 0, 0.0, 1.0, token("雨停"), "A"), (1, 1, 1.2, 2.0, token("了"), "A"), (1, 2, 3.0, 3.5, token("ok."), "A"), (1, 3, 4.0, 5.0, token("yes"), "B"), (1, 4, 9.0, 3700.0, token("so"), "B"), (2, 0, None, None, token("x"), None), (2, 1, 1.0, 2.0, [], None)]
+    lines = spark.createDataFrame([(*r[:5], None, r[5]) for r in rows], "doc_id int, line_no int, start double, end double, tokens array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>, translation string, speaker string")
+    got = [tuple(r) for r in writers.paragraphs(lines).select("doc_id", "par_no", "speaker", "text", "end").orderBy("doc_id", "par_no").collect()]
+    assert got == [(1, 0, "A", "雨停，了。 ok.", 3.5), (1, 1, "B", "yes", 5.0), (1, 2, "B", "so", 3700.0), (2, 0, None, "x", None)]
+    meta = spark.createDataFrame([(1, "T", 2)], "doc_id int, title string, speakers int")
+    text = {r["doc_id"]: r["text"] for r in writers.write_transcript(lines, meta).collect()}
+    assert text[1] == "# T\n\n> length 01:01:40 · 2 speakers\n\n**A**  `00:00`\n\n雨停，了。 ok.\n\n**B**  `00:04`\n\nyes\n\n**B**  `00:09`\n\nso\n" and text[2].startswith("# Transcript\n\n> length 00:02\n\n`--:--`\n\nx")
+    head = spark.createDataFrame([(1, {"title": "Rain", "artist": "Me", "other": "-"})], "doc_id int, metadata map<string,string>")
+    lrc = {r["doc_id"]: r["text"] for r in writers.with_header(writers.write_lrc(lines), head).collect()}
+    assert lrc[1].startswith("[ti:Rain]\n[ar:Me]\n[by:cuesheet]\n[00:00.00]雨停")
+
+
 def test_stamps(spark):
     r = spark.range(1).select(ts_srt(F.lit(3661.0015)).alias("a"), ts_ass(F.lit(-1.0)).alias("b"), ts_lrc(F.lit(6000.0)).alias("c"), parse_ts(F.lit("1:00:01.5")).alias("d"), parse_ts(F.lit("x")).alias("e")).first()
     assert tuple(r) == ("01:01:01,002", "0:00:00.00", "100:00.00", 3601.5, None)

@@ -47,13 +47,15 @@ def test_song_without_anchors(seed):
     assert (np.abs(got[ends, 1] - truth[ends, 1]) < 0.15).all()
 
 
-@pytest.mark.parametrize("params, unit, noise, legato, least", [(sp.SONG, 0.32, 0.25, 0.6, 0.85), (sp.SPEECH, 0.17, 0.08, 0.0, 0.85)])
-def test_noisy_anchors(params, unit, noise, legato, least):
-    curves, units, truth = made(11, unit=unit, legato=legato / 2, gap=0.6)
-    r = np.random.default_rng(11)
-    units.anchor, units.trust, units.sigma = truth[:, 0] + r.normal(0, noise, len(truth)), np.full(len(truth), 0.8), np.full(len(truth), noise)
-    got = sp.align_units(units, curves, params)
-    assert (np.abs(got[:, 0] - truth[:, 0]) < 0.08).mean() > least
+@pytest.mark.parametrize("params, unit, noise", [(sp.SONG, 0.32, 0.25), (sp.SPEECH, 0.17, 0.08)])
+def test_noisy_anchors(params, unit, noise):
+    near = []
+    for seed in range(8):
+        curves, units, truth = made(seed, unit=unit, legato=0.15, gap=0.6)
+        r = np.random.default_rng(seed)
+        units.anchor, units.trust, units.sigma = truth[:, 0] + r.normal(0, noise, len(truth)), np.full(len(truth), 0.8), np.full(len(truth), noise)
+        near.append((np.abs(sp.align_units(units, curves, params)[:, 0] - truth[:, 0]) < 0.08).mean())
+    assert np.mean(near) > 0.85
 
 
 def test_path_is_the_cheapest():
