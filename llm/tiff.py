@@ -27,6 +27,10 @@ TYPE_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
 
+#: Each byte with its bits in the other order, for files with FillOrder 2.
+MIRROR = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
+
+
 class TiffError(ValueError):
     """The bytes are no TIFF file that this reader knows."""
 
@@ -150,6 +154,9 @@ class Reader:
         compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
         if bits not in (1, 2, 4, 8, 16, 32, 64):
             raise TiffError(f"{bits} bits a sample")
+        if any(b != bits for b in fields.get(258, ())):
+            raise TiffError("samples of different depth")
+        turned = one(266, 1) == 2
         deep, planes = (per, 1) if planar == 1 else (1, per)
         tiled = 322 in fields
         bw, bh = (one(322), one(323)) if tiled else (width, min(one(278, height) or height, height))
@@ -166,7 +173,8 @@ class Reader:
             plane = np.zeros((height, line), np.uint8)
             for k in range(across * down):
                 i = p * across * down + k
-                raw = _expand(self.data[at[i] : at[i] + sizes[i]], compression)
+                raw = self.data[at[i] : at[i] + sizes[i]]
+                raw = _expand(raw.translate(MIRROR) if turned else raw, compression)
                 y, x = k // across * bh, k % across * bw
                 rows = bh if tiled else min(bh, height - y)
                 if len(raw) < rows * block_line:
@@ -198,11 +206,29 @@ class Reader:
 
 
 def read_pages(data: bytes) -> list[dict]:
-    """All pages of a file."""
+    """All pages of a file; one that is broken is an error."""
     reader = Reader(data)
     return [reader.page(f) for f in reader.directories()]
 
 
+_BROKEN = (TiffError, zlib.error, ValueError, OverflowError, MemoryError)
+
+
+def told_pages(data: bytes) -> list[dict]:
+    """Pages with page_no and error: a broken page tells its own, a broken file or directory ends the list."""
+    out: list[dict] = []
+    try:
+        reader = Reader(data)
+        for k, fields in enumerate(reader.directories()):
+            try:
+                out.append(reader.page(fields) | {"page_no": k, "error": None})
+            except _BROKEN as e:
+                out.append({"page_no": k, "error": str(e) or type(e).__name__})
+    except _BROKEN as e:
+        out.append({"page_no": None, "error": str(e) or type(e).__name__})
+    return out or [{"page_no": None, "error": "no page"}]
+
+
 def write_page(pixels: bytes, width: int, strip_rows: int = 1024, level: int = 1) -> bytes:
     """A one-page file of 8-bit grey samples: deflate strips, horizontal predictor."""
     rows = np.frombuffer(pixels, np.uint8).reshape(-1, width)
@@ -233,8 +259,10 @@ PAGE_FIELDS = [("page_no", T.IntegerType()), ("width", T.LongType()), ("height",
 def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """One row for each page of each file: the other columns and the page's own.
 
-    A null, empty or broken file, also one broken in a later page, gives one row with
-    page_no null and error told.  Own columns with a page column's name are replaced.
+    A broken page is a row with its page_no and the error; a null, empty or broken file,
+    or one whose chain of directories breaks off, has a row with page_no null and the
+    error.  Repeated rows are read alike; an empty table is fine; a very large file is
+    held by one worker.  Own columns with a page column's name are replaced.
     """
     bound_batches(df.sparkSession)
     names = [n for n, _ in PAGE_FIELDS]
@@ -245,11 +273,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, data in enumerate(batch.column(media_col).to_pylist()):
-                try:
-                    pages = [p | {"page_no": k, "error": None} for k, p in enumerate(read_pages(data or b""))]
-                    pages = pages or [{"error": "no page"}]
-                except (TiffError, zlib.error, ValueError, OverflowError, MemoryError) as e:
-                    pages = [{"error": str(e) or type(e).__name__}]
+                pages = told_pages(data or b"")
                 own = [c.slice(i, 1).take(pa.array([0] * len(pages))) for c, n in zip(batch.columns, batch.schema.names) if n != media_col]
                 cols = [pa.array([p.get(n) for p in pages], pa.binary() if n == "pixels" else pa.string() if n == "error" else pa.int64() if n in ("width", "height") else pa.int32()) for n in names]
                 yield pa.RecordBatch.from_arrays([*own, *cols], schema.names)

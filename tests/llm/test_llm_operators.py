@@ -381,6 +381,27 @@ def test_tiff(odd, spark):
     assert all(r["error"] and r["page_no"] is None for r in tiff.tiff_pages(bad).collect()) and tiff.tiff_pages(empty(bad)).count() == 0
 
 
+def test_tiff_broken_pages_and_bit_order(spark):
+    """A bad page leaves the good ones; turned bits are read; samples of different depth are an error."""
+    import struct
+
+    def page(tags, at, nxt):
+        rows = b"".join(struct.pack("<HHII", t, 4 if n == 1 else 3, n, v) for t, n, v in sorted(tags))
+        return struct.pack("<H", len(tags)) + rows + struct.pack("<I", nxt)
+
+    def tags(strip, size=2, **more):
+        base = {256: (1, 2), 257: (1, 1), 258: (1, 8), 259: (1, 1), 273: (1, strip), 277: (1, 1), 278: (1, 1), 279: (1, size)} | {int(k[1:]): v for k, v in more.items()}
+        return [(t, n, v) for t, (n, v) in base.items()]
+
+    data, pixels = b"", bytes([1, 0x80])
+    kinds = [tags(8), tags(8, size=1), tags(8, t266=(1, 2)), tags(8, t258=(2, 8 | 4 << 16))]
+    sizes = [2 + 12 * len(k) + 4 for k in kinds]
+    at = [12 + sum(sizes[:k]) for k in range(5)]
+    data = b"II*\0" + struct.pack("<I", at[0]) + pixels + b"\0\0" + b"".join(page(k, at[i], at[i + 1] if i < 3 else 0) for i, k in enumerate(kinds))
+    got = tiff.tiff_pages(spark.createDataFrame([(1, data)], "doc_id int, media binary")).orderBy("page_no").collect()
+    assert [(r["page_no"], r["pixels"]) for r in got] == [(0, pixels), (1, None), (2, bytes([0x80, 1])), (3, None)] and [bool(r["error"]) for r in got] == [False, True, False, True]
+
+
 def test_html(spark):
     page = "<html><body><nav><a href='#'>Home</a></nav><article><h1>T</h1><p>Some words here.</p></article></body></html>"
     df = spark.createDataFrame([(1, page), (1, page), (2, None), (3, ""), (4, "<p>" * 3000)], "page_id long, html string").withColumn("text", F.lit("x"))
