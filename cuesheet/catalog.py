@@ -12,7 +12,7 @@ from . import oracle
 from .functions import numbers, speech, syllables
 from .functions import text as tx
 from .functions import time as tm
-from .operators import align, cut, frames, layout, rank, recognition, screen, sentences, speakers, timing
+from .operators import align, cut, edit, frames, layout, rank, recognition, screen, sentences, speakers, timing
 from .plans import flagship as plan
 from .schema import flatten, from_json, nest, to_json
 from .sources import readers, writers
@@ -403,6 +403,28 @@ def detect_repeats(spark, d):
     return c.mapInPandas(run, "conv_id long, turn long, n_cut long")
 
 
+def _items(spark, d):
+    """Events as the words of a recording, errors and purchases to go."""
+    sec = lambda c: (F.col(c) - ZERO) / 1e6
+    why = F.when(F.col("event_type") == "error", "filler").when(F.col("event_type") == "purchase", "repeat")
+    name = F.concat(F.col("event_id").cast("string"), F.lit(" "))
+    return tracks(spark, d).select("user_id", sec("start").alias("start"), sec("end").alias("end"), name.alias("text"), name.alias("key"), why.alias("cut"), F.lit(False).alias("island"), F.lit(0).alias("line_no"))
+
+
+@query
+def cut_groups(spark, d):
+    return edit.groups(_items(spark, d), ["user_id"]).select("user_id", F.col("group_no").cast("long").alias("group_no"), "cut", "text", F.round("start", 6).alias("start"))
+
+
+@query
+def edit_removals(spark, d):
+    items = _items(spark, d)
+    kept = timing.merge_intervals(items.where("cut is null"), ["user_id"]).select("user_id", "start", "end")
+    length = items.groupBy("user_id").agg((F.max("end") + 60).alias("duration"))
+    gone = edit.may_mute(edit.removals(kept, items, length, ["user_id"]), 100.0)
+    return gone.select("user_id", F.round("start", 6).alias("start"), "edge", F.array_join("reasons", ",").alias("reasons"), "text", "mutable")
+
+
 # Screening and rules ---------------------------------------------------------------------
 
 

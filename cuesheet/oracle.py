@@ -171,6 +171,21 @@ c AS (SELECT label, list(x ORDER BY i) AS center FROM m GROUP BY label), t AS (S
 p AS (SELECT a.label, b.label AS large, row_number() OVER (PARTITION BY a.label ORDER BY list_cosine_similarity(ca.center, cb.center) DESC, b.label) AS r
   FROM t a JOIN c ca USING (label) CROSS JOIN t b JOIN c cb ON cb.label = b.label WHERE a.w < 6 AND b.w >= 6)
 SELECT t.label, coalesce(p.large, t.label) AS "to" FROM t LEFT JOIN p ON p.label = t.label AND p.r = 1""",
+    "cut_groups": f"""WITH {TRACKS}, i AS (SELECT user_id, event_id, (start - 1700000000000000) / 1e6 AS s, ("end" - 1700000000000000) / 1e6 AS e, CASE event_type WHEN 'error' THEN 'filler' WHEN 'purchase' THEN 'repeat' END AS cut FROM tracks),
+n AS (SELECT *, CASE WHEN cut IS NOT NULL AND lag(cut) OVER w IS NOT DISTINCT FROM cut THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY user_id ORDER BY s, e)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM n)
+SELECT user_id, group_no, any_value(cut) AS cut, string_agg(event_id || ' ', '' ORDER BY s, e) AS text, round(min(s), 6) AS start FROM g GROUP BY user_id, group_no""",
+    "edit_removals": f"""WITH {TRACKS}, i AS (SELECT user_id, event_id, (start - 1700000000000000) / 1e6 AS s, ("end" - 1700000000000000) / 1e6 AS e, CASE event_type WHEN 'error' THEN 'filler' WHEN 'purchase' THEN 'repeat' END AS cut FROM tracks),
+r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i WHERE cut IS NULL),
+l AS (SELECT *, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM r),
+kept AS (SELECT user_id, min(s) AS s, max(e) AS e FROM l GROUP BY user_id, k),
+d AS (SELECT user_id, max(e) + 60 AS d FROM i GROUP BY user_id),
+x AS (SELECT user_id, s, e, false AS last FROM kept UNION ALL SELECT user_id, d, d, true FROM d WHERE user_id IN (SELECT user_id FROM kept)),
+f AS (SELECT user_id, coalesce(lag(e) OVER w, 0.0) AS a, s AS b, last OR lag(e) OVER w IS NULL AS edge FROM x WINDOW w AS (PARTITION BY user_id ORDER BY s, e)),
+gone AS (SELECT * FROM f WHERE b - a > CASE WHEN edge THEN 1e-3 ELSE 0 END),
+j AS (SELECT g.user_id, g.a, g.b, g.edge, i.event_id, i.cut, i.s, i.e FROM gone g LEFT JOIN i ON i.user_id = g.user_id AND i.cut IS NOT NULL AND (i.s + i.e) / 2 BETWEEN g.a - 0.02 AND g.b + 0.02)
+SELECT user_id, round(a, 6) AS start, edge, CASE WHEN count(cut) = 0 THEN 'pause' ELSE string_agg(DISTINCT cut, ',' ORDER BY cut DESC) END AS reasons, CASE WHEN count(cut) = 0 THEN '(pause)' ELSE string_agg(event_id || ' ', '' ORDER BY s, e) END AS text,
+  count(cut) > 0 AND NOT edge AND count(*) FILTER (WHERE cut = 'repeat') = 0 AND round_even(sum(e - s), 3) <= 100 AS mutable FROM j GROUP BY user_id, a, b, edge""",
     "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
