@@ -12,7 +12,7 @@ from . import oracle
 from .functions import numbers, speech, syllables
 from .functions import text as tx
 from .functions import time as tm
-from .operators import align, cut, edit, frames, layout, rank, recognition, screen, sentences, speakers, timing
+from .operators import align, cut, edit, frames, layout, rank, recognition, screen, sentences, speakers, syllable_path, timing
 from .plans import flagship as plan
 from .schema import flatten, from_json, nest, to_json
 from .sources import readers, writers
@@ -649,22 +649,35 @@ def iso_budget(spark, d):
     return c.select("conv_id", "turn", b.alias("b")).select("conv_id", "turn", "b.target", "b.lo", "b.hi", "b.by")
 
 
-def _toy_ctc() -> list:
-    r = np.random.RandomState(3)
-    logp = np.log(r.dirichlet(np.ones(4) * 0.3, 33))
-    return align.viterbi(logp, [[1], [2], [3]])
-
-
 @query
 def ctc_viterbi(spark, d):
-    """Best paths on made emissions, one document for each benchmark item."""
+    """Best paths through every embedding, read as 16 frames of 4 classes."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, u, *s) for i in pdf["item_id"] for u, s in enumerate(_toy_ctc())]
-            yield pd.DataFrame(rows, columns=["item_id", "unit", "first", "last", "score"])
+            rows = []
+            for i, e in zip(pdf["vec_id"], pdf["embedding"]):
+                x = np.asarray(e, float)[:64].reshape(16, 4) * 4
+                logp = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+                rows += [(i, u, *s) for u, s in enumerate(align.viterbi(logp, [[1], [2], [3]]))]
+            yield pd.DataFrame(rows, columns=["vec_id", "unit", "first", "last", "score"])
+
+    return t(spark, d, "embeddings").where("size(embedding) >= 64").select("vec_id", "embedding").mapInPandas(run, "vec_id long, unit int, first int, last int, score double")
 
-    return t(spark, d, "benchmark").select("item_id").mapInPandas(run, "item_id long, unit int, first int, last int, score double")
+
+@query
+def syllable_alignment(spark, d):
+    """Words of every benchmark text found again on curves that are made from them."""
+    w = t(spark, d, "benchmark").select("item_id", F.posexplode(tx.words_of(F.col("text"))).alias("g_no", "w")).withColumn("weight", tx.syllable_weight(tx.key(F.col("w"))))
+    order = Window.partitionBy("item_id").orderBy("g_no")
+    w = w.withColumn("length", F.greatest(F.lit(8), F.round(F.col("weight") * 17)).cast("int")).withColumn("first", F.sum("length").over(order) - F.col("length") + 20)
+    last = F.lead("g_no").over(order).isNull()
+    none = F.lit(None).cast("double")
+    units = w.select("item_id", "g_no", "weight", (F.col("g_no") == 0).alias("line_start"), last.alias("line_end"), none.alias("anchor"), none.alias("trust"), none.alias("sigma"))
+    frames = w.select("item_id", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("i"))
+    frames = frames.select("item_id", "i", F.when(F.col("i") == F.col("first"), 1.0).otherwise(0.0).alias("boundary"), F.lit(0.9).alias("active"))
+    found = syllable_path.align_frames(units, frames, "item_id", 0.01, syllable_path.SPEECH)
+    return found.select("item_id", "g_no", F.round("start", 3).alias("start"))
 
 
 ORACLE = oracle.SQL

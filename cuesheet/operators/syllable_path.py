@@ -5,7 +5,8 @@ activity, and a grid dense in voice and sparse in silence.  Every unit takes a l
 candidate than the unit before it; a candidate costs by its strength, activity, the pause
 before a line, and its distance from an anchor; a step costs by how long the unit before
 is voiced against what its weight lets expect, by strong boundaries that it jumps, and by
-silence inside.  All steps between two units' bands are priced as one matrix.
+silence inside.  The steps between two units' bands are priced as one matrix, as wide as
+the longest unit.
 """
 
 from __future__ import annotations
@@ -191,23 +192,29 @@ def align_units(u: Units, c: Curves, p: Params = SONG, t0: float = 0.0, t1: floa
             cost = cost + p.anchor * u.trust[i] * huber((t - u.anchor[i]) / max(u.sigma[i], 0.02))
         return np.where((t < u.low[i] - 1e-6) | (t > u.high[i] + 1e-6), np.inf, cost)
 
-    def steps(i: int, pa: int, pb: int, a: int, b: int) -> np.ndarray:
-        """Cost of unit i from candidate pa.. to the next one's a.., later starts first."""
-        old, new = np.arange(pb - 1, pa - 1, -1)[:, None], np.arange(a, b)[None, :]
+    def steps(i: int, pa: int, pb: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cost, from): of unit i from each candidate that is near enough to the next one's a.., the nearest first."""
+        new = np.arange(a, b)
+        longest = p.longest * (FINAL_LONGEST if u.closes[i] else 1.0)
+        low = np.maximum(np.searchsorted(c.voiced, c.voiced[new] - longest - 1e-9, "left"), pa)
+        old = new - np.arange(1, max(1, int((new - low).max())) + 1)[:, None]
+        may = (old >= low) & (old < pb)
+        old = np.where(may, old, pa)
         passed, voiced = c.time[new] - c.time[old], c.voiced[new] - c.voiced[old]
-        may = (new > old) & (passed >= p.shortest) & (voiced <= p.longest * (FINAL_LONGEST if u.closes[i] else 1.0))
+        may &= (passed >= p.shortest) & (voiced <= longest)
         cost = length_cost(np.maximum(voiced, 0.0), u.weight[i], bool(u.closes[i]), p) + p.jumped * (c.passed[new] - c.passed[old + 1])
         if not u.closes[i]:
             cost = cost + p.silence * np.maximum(0.0, passed - voiced - p.free_silence)
-        return np.where(may, cost, np.inf)
+        return np.where(may, cost, np.inf), old
 
     a, b = place[0]
     total, came = own(0, slice(a, b)), []
     for i in range(1, n):
         (pa, pb), (a, b) = place[i - 1], place[i]
-        through = steps(i - 1, pa, pb, a, b) + total[::-1, None]
-        best = through.argmin(axis=0)
-        reach, back = through[best, np.arange(b - a)], pb - 1 - best
+        cost, old = steps(i - 1, pa, pb, a, b)
+        through = cost + total[old - pa]
+        best, each = through.argmin(axis=0), np.arange(b - a)
+        reach, back = through[best, each], old[best, each]
         if np.isinf(reach).all():  # no way here: the chain starts again at this unit
             reach, back = np.full(b - a, total.min()), np.full(b - a, pa + int(total.argmin()))
         came.append(back)

@@ -186,6 +186,13 @@ gone AS (SELECT * FROM f WHERE b - a > CASE WHEN edge THEN 1e-3 ELSE 0 END),
 j AS (SELECT g.user_id, g.a, g.b, g.edge, i.event_id, i.cut, i.s, i.e FROM gone g LEFT JOIN i ON i.user_id = g.user_id AND i.cut IS NOT NULL AND (i.s + i.e) / 2 BETWEEN g.a - 0.02 AND g.b + 0.02)
 SELECT user_id, round(a, 6) AS start, edge, CASE WHEN count(cut) = 0 THEN 'pause' ELSE string_agg(DISTINCT cut, ',' ORDER BY cut DESC) END AS reasons, CASE WHEN count(cut) = 0 THEN '(pause)' ELSE string_agg(event_id || ' ', '' ORDER BY s, e) END AS text,
   count(cut) > 0 AND NOT edge AND count(*) FILTER (WHERE cut = 'repeat') = 0 AND round_even(sum(e - s), 3) <= 100 AS mutable FROM j GROUP BY user_id, a, b, edge""",
+    "syllable_alignment": f"""WITH l AS (SELECT item_id, regexp_extract_all(text, '{WORD.replace("'", "''")}') AS ws FROM benchmark),
+w AS (SELECT item_id, generate_subscripts(ws, 1) - 1 AS g_no, regexp_replace(lower(unnest(ws)), '[\\p{{P}}\\p{{S}}\\s]+', '', 'g') AS k FROM l),
+g AS (SELECT *, len(regexp_extract_all(k, '[{VOWELS}]+')) AS n FROM w),
+x AS (SELECT item_id, g_no, CASE WHEN k = '' THEN 0.3 WHEN regexp_matches(k, '^[0-9]+$') THEN greatest(1.0, length(k) * 0.9)
+  ELSE greatest(1, n - CASE WHEN suffix(k, 'e') AND n > 1 AND NOT suffix(k, 'le') AND NOT suffix(k, 'ee') THEN 1 ELSE 0 END)::DOUBLE END AS weight FROM g),
+f AS (SELECT *, greatest(8, round(weight * 17))::BIGINT AS length FROM x)
+SELECT item_id, g_no::INT AS g_no, round((20 + sum(length) OVER (PARTITION BY item_id ORDER BY g_no) - length) * 0.01::DOUBLE, 3) AS start FROM f""",
     "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
