@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def units(t: Column, per_second: int) -> Column:
-    """Whole units of a time; negative times are 0."""
+    """Whole units of a time; negative times and no time are 0."""
     return F.bround(F.greatest(t, F.lit(0.0)) * per_second, 0).cast("long")
 
 

@@ -61,7 +61,7 @@ def sign_test_p(a: Column, b: Column) -> Column:
 def slot(df: DataFrame, keys: list[str], start: str, end: str, gap: float = 0.08) -> DataFrame:
     """slot: seconds until the next row less ``gap``, 0.2 at least; the last its own and 1."""
     nxt = F.lead(start).over(Window.partitionBy(*keys).orderBy(start, end))
-    return df.withColumn("slot", F.coalesce(F.greatest(F.lit(0.2), nxt - F.col(start) - gap), F.col(end) - F.col(start) + 1.0))
+    return df.withColumn("slot", F.when(nxt.isNull(), F.col(end) - F.col(start) + 1.0).otherwise(F.greatest(F.lit(0.2), nxt - F.col(start) - gap)))
 
 
 def fit_factor(length: Column, slot_: Column, natural: Column, most: float = 1.15, least: float = 0.9) -> Column:

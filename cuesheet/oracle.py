@@ -253,7 +253,8 @@ SELECT a.l_orderkey, a.l_partkey AS a_part, b.b_line::BIGINT AS b_line, b.b_part
     "blind_test_tally": """WITH x AS (SELECT doc_id % 7 AS k, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS b, count(*) FILTER (WHERE quality = toxic) AS same FROM labels GROUP BY 1)
 SELECT k, a::BIGINT AS a, b::BIGINT AS b, same::BIGINT AS same, CASE WHEN a + b = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(0, least(a, b) + 1), lambda j: exp(lgamma(a + b + 1) - lgamma(j + 1) - lgamma(a + b - j + 1) - (a + b) * ln(2))))), 4) END AS p FROM x""",
     "slot_and_fit": f"""WITH {TRACKS}, s AS (SELECT event_id, user_id, start / 3.6e9 AS start, "end" / 3.6e9 AS "end", abs(value) AS v FROM tracks),
-l AS (SELECT *, coalesce(greatest(0.2, lead(start) OVER (PARTITION BY user_id ORDER BY start, "end") - start - 0.08), "end" - start + 1.0) AS slot FROM s)
+n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start, "end") AS nxt FROM s),
+l AS (SELECT *, CASE WHEN nxt IS NULL THEN "end" - start + 1.0 ELSE greatest(0.2, nxt - start - 0.08) END AS slot FROM n)
 SELECT event_id, round(slot, 4) AS slot, round(CASE WHEN slot > 0 AND v > slot THEN least(1.15, v / slot) WHEN v * 1.3 > 0 AND v < v * 1.3 * 0.85 THEN greatest(0.9, v / (v * 1.3)) ELSE 1.0 END, 4) AS fit FROM l""",
     "iso_budget": f"""WITH c AS (SELECT conv_id, turn, len(regexp_extract_all(text, '{WORD.replace("'", "''")}')) AS n, (turn * 10)::DOUBLE AS s, (turn * 10 + least(10.0, length(text) / 12.0))::DOUBLE AS e FROM conversations),
 b AS (SELECT *, e - s > 0 AND (e - s) * 5.0::DOUBLE < n * 1.3::DOUBLE AS by_time FROM c),

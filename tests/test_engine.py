@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuesheet.catalog import ORACLE, QUERIES
 from cuesheet.functions import style
 from cuesheet.functions.time import parse_ts, ts_ass, ts_lrc, ts_srt
-from cuesheet.operators import cut, timing
+from cuesheet.operators import cut, rank, timing
 from cuesheet.operators.layout import get_layout
 from cuesheet.operators.speakers import upgma
 from cuesheet.sources import readers, writers
@@ -180,6 +180,10 @@ def test_transcripts(spark):
 def test_stamps(spark):
     r = spark.range(1).select(ts_srt(F.lit(3661.0015)).alias("a"), ts_ass(F.lit(-1.0)).alias("b"), ts_lrc(F.lit(6000.0)).alias("c"), parse_ts(F.lit("1:00:01.5")).alias("d"), parse_ts(F.lit("x")).alias("e")).first()
     assert tuple(r) == ("01:01:01,002", "0:00:00.00", "100:00.00", 3601.5, None)
+    none = spark.createDataFrame([(1, None, 2.0), (1, 4.0, 5.0)], "k int, start double, end double")
+    assert [tuple(x) for x in timing.shift(none, -3).select("start", "end").collect()] == [(None, 0.0), (1.0, 2.0)] and none.select(ts_srt(F.col("start")).alias("t")).first()["t"] == "00:00:00,000"
+    slots = rank.slot(spark.createDataFrame([(1, 0.0, 1.0), (1, 2.0, 3.0), (1, 2.1, 4.0)], "k int, start double, end double"), ["k"], "start", "end").orderBy("start").collect()
+    assert [round(x["slot"], 6) for x in slots] == [1.92, 0.2, 2.9]
 
 
 def test_frame_plan(spark):
