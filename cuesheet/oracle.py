@@ -193,6 +193,12 @@ x AS (SELECT item_id, g_no, CASE WHEN k = '' THEN 0.3 WHEN regexp_matches(k, '^[
   ELSE greatest(1, n - CASE WHEN suffix(k, 'e') AND n > 1 AND NOT suffix(k, 'le') AND NOT suffix(k, 'ee') THEN 1 ELSE 0 END)::DOUBLE END AS weight FROM g),
 f AS (SELECT *, greatest(8, round(weight * 17))::BIGINT AS length FROM x)
 SELECT item_id, g_no::INT AS g_no, round((20 + sum(length) OVER (PARTITION BY item_id ORDER BY g_no) - length) * 0.01::DOUBLE, 3) AS start FROM f""",
+    "ass_round_trip": f"""WITH {CUES}{ASS_CUES}
+SELECT user_id, count(*)::BIGINT AS n_lines, sum(round_even(from_t * 100, 0)::BIGINT + greatest(k0, 0))::BIGINT AS start_sum, sum(round_even(until_t * 100, 0)::BIGINT)::BIGINT AS end_sum, (2 * count(*))::BIGINT AS n_tokens FROM clocked GROUP BY user_id""",
+    "lrc_round_trip": f"""WITH {CUES}, n AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY line_no) AS na, len(regexp_extract_all(line, '{WORD.replace("'", "''")}')) AS words FROM cues)
+SELECT user_id, count(*)::BIGINT AS n_lines, sum({cs('a')})::BIGINT AS start_sum, sum(CASE WHEN na IS NULL OR na - b >= 2000 THEN {cs('b')} ELSE least({cs('na')}, {cs('a')} + 800) END)::BIGINT AS end_sum, sum(words)::BIGINT AS n_tokens FROM n GROUP BY user_id""",
+    "lrc_enhanced_round_trip": f"""WITH {CUES}, n AS (SELECT *, len(regexp_extract_all(line, '{WORD.replace("'", "''")}')) AS words FROM cues)
+SELECT user_id, count(*)::BIGINT AS n_lines, sum({cs('a')})::BIGINT AS start_sum, sum({cs('b')})::BIGINT AS end_sum, sum(words)::BIGINT AS n_tokens FROM n GROUP BY user_id""",
     "fill_missing_islands": f"""WITH {TRACKS}, h AS (SELECT event_id, user_id, start AS t0, CASE WHEN event_type <> 'purchase' THEN (start - 1700000000000000) / 1e6 END AS start, CASE WHEN event_type <> 'purchase' THEN ("end" - 1700000000000000) / 1e6 END AS "end" FROM tracks),
 r AS (SELECT *, start IS NOT NULL AS timed, count(start) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS UNBOUNDED PRECEDING) AS run,
   last_value("end" IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t0, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,

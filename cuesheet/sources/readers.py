@@ -201,7 +201,7 @@ def read_lrc(df: DataFrame) -> DataFrame:
     r = r.withColumn("translation", said).withColumn("closed", F.coalesce(closed, F.when(F.col("translation").isNotNull() & (F.lead("filled", 2).over(w) == F.lit(False)), F.lead("start", 2).over(w))))
     lines = r.where(F.col("filled") & ~F.col("again")).withColumn("pos", F.col("n"))
     nxt = F.lead("start").over(Window.partitionBy("doc_id").orderBy("n"))
-    lines = lines.withColumn("end", F.coalesce("last", "closed", F.least(nxt, F.col("start") + 8.0), F.col("start") + 5.0))
+    lines = lines.withColumn("end", F.coalesce("last", "closed", F.when(nxt.isNotNull(), F.least(nxt, F.col("start") + 8.0)), F.col("start") + 5.0))
     lines = lines.join(offset, "doc_id", "left").withColumn("off", F.coalesce("offset", F.lit(0.0)))
     moved = lambda t: F.greatest(F.lit(0.0), t - F.col("off"))
     tokens = F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), F.when(t["start"].isNotNull(), moved(t["start"])).alias("start"), F.when(t["end"].isNotNull(), moved(t["end"])).alias("end"), t["confidence"].alias("confidence"), t["space_after"].alias("space_after")))

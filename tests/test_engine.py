@@ -47,7 +47,7 @@ LRC = "[ar:Someone]\n[offset:-250]\n[00:10.50]雨夜\n[00:04.00][00:20.00]燈火
 def test_lrc(spark):
     got = readers.read(spark.createDataFrame([(1, LRC)], "doc_id long, text string"), "lrc").orderBy("line_no").collect()
     assert ["".join(t["text"] for t in r["tokens"]) for r in got] == ["燈火", "雨夜", "燈火"]
-    assert [r["start"] for r in got] == [4.25, 10.75, 20.25] and got[1]["translation"] == "a rainy night" and got[1]["end"] == 18.75
+    assert [r["start"] for r in got] == [4.25, 10.75, 20.25] and got[1]["translation"] == "a rainy night" and got[1]["end"] == 18.75 and got[2]["end"] == 25.25
 
 
 def filled_by_hand(rows, unit=0.25):
