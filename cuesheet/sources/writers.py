@@ -5,9 +5,13 @@ A writer is a column expression for a line; a document is its lines joined in or
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import zipfile
 import zlib
 from base64 import b64encode
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -297,6 +301,43 @@ def write_transcript(lines: DataFrame, metadata: DataFrame | None = None) -> Dat
     return head.join(body, "doc_id", "left").select("doc_id", F.concat(info, F.coalesce("body", F.lit(""))).alias("text"))
 
 
+# The parts that every Word file has.
+DOCX_TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+DOCX_RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+DOCX_BODY = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
+_NO_XML = re.compile("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def docx(markdown: str) -> bytes:
+    """A Word file of a transcript's Markdown: title, note, names in bold, times small, paragraphs."""
+
+    def run(text: str, form: str = "") -> str:
+        return f'<w:r><w:rPr>{form}</w:rPr><w:t xml:space="preserve">{escape(_NO_XML.sub("", text))}</w:t></w:r>' if text else ""
+
+    def paragraph(row: str) -> str:
+        if row.startswith("# "):
+            return run(row[2:], '<w:b/><w:sz w:val="32"/>')
+        if row.startswith("> "):
+            return run(row[2:], '<w:color w:val="667085"/>')
+        head = re.fullmatch(r"(?:\*\*(.*)\*\*  )?`([\d:-]+)`", row)
+        if head:
+            return run(f"{head[1]}  " if head[1] else "", "<w:b/>") + run(head[2], '<w:color w:val="98A2B3"/><w:sz w:val="18"/>')
+        return run(row)
+
+    rows = "".join(f"<w:p>{paragraph(row)}</w:p>" for row in markdown.split("\n") if row)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("[Content_Types].xml", DOCX_TYPES), ("_rels/.rels", DOCX_RELS), ("word/document.xml", DOCX_BODY.format(rows))):
+            z.writestr(zipfile.ZipInfo(name), text)
+    return out.getvalue()
+
+
+def write_transcript_docx(lines: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """The transcript as a Word file, (doc_id, data)."""
+    pack = F.pandas_udf(lambda s: s.map(docx), T.BinaryType())
+    return write_transcript(lines, metadata).select("doc_id", pack("text").alias("data"))
+
+
 #: Keys of a document's metadata and their LRC tags (fixed values).
 LRC_TAGS = {"title": "ti", "artist": "ar", "album": "al", "author": "au", "by": "by", "lyricist": "lr"}
 
@@ -322,7 +363,7 @@ def write_json(lines: DataFrame) -> DataFrame:
 
 WRITERS = {
     "srt": write_srt, "srt-karaoke": write_srt_karaoke, "vtt": write_vtt, "vtt-karaoke": write_vtt_karaoke, "sbv": write_sbv, "txt": write_txt, "lrc": write_lrc, "lrc-enhanced": write_lrc_enhanced,
-    "lrc-word": write_lrc_word, "qrc": write_qrc, "yrc": write_yrc, "krc": write_krc, "krc-encrypted": write_krc_encrypted, "ass": write_ass, "ttml": write_ttml, "ttml-line": lambda x: write_ttml(x, False), "transcript": write_transcript, "json": write_json,
+    "lrc-word": write_lrc_word, "qrc": write_qrc, "yrc": write_yrc, "krc": write_krc, "krc-encrypted": write_krc_encrypted, "ass": write_ass, "ttml": write_ttml, "ttml-line": lambda x: write_ttml(x, False), "transcript": write_transcript, "transcript-docx": write_transcript_docx, "json": write_json,
 }
 
 

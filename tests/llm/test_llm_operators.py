@@ -93,6 +93,19 @@ def test_near_dedup_crowds_against_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == fast_components(texts, 4, 80)
 
 
+def test_near_dedup_query_against_brute_force(spark):
+    """op3 on a whole table, against every two of its texts."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in near_dedup.op3_near_dedup(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    sets = [near_dedup.shingle_set((r["text"] or "").encode(), 4) for r in docs]
+    full = [k for k, s in enumerate(sets) if len(s)]
+    comp = dict(zip(full, (full[c] for c in fast_components([docs[k]["text"] for k in full], 4, 80))))
+    for k, r in enumerate(docs):
+        mine = got[r["doc_id"]]
+        assert mine["component_id"] == docs[comp.get(k, k)]["doc_id"] and mine["n_shingles"] == len(sets[k]) and mine["kept"] == (mine["component_id"] == r["doc_id"])
+
+
 def test_components_either_way(spark, monkeypatch):
     """Chains, stars and loops: one task and rounds of tables give the same roots."""
     rng = np.random.RandomState(1)

@@ -172,6 +172,13 @@ def test_transcripts(spark):
     meta = spark.createDataFrame([(1, "T", 2)], "doc_id int, title string, speakers int")
     text = {r["doc_id"]: r["text"] for r in writers.write_transcript(lines, meta).collect()}
     assert text[1] == "# T\n\n> length 01:01:40 · 2 speakers\n\n**A**  `00:00`\n\n雨停，了。 ok.\n\n**B**  `00:04`\n\nyes\n\n**B**  `00:09`\n\nso\n" and text[2].startswith("# Transcript\n\n> length 00:02\n\n`--:--`\n\nx")
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    files = {r["doc_id"]: zipfile.ZipFile(io.BytesIO(r["data"])) for r in writers.write(lines, "transcript-docx").collect()}
+    said = [["".join(t.itertext()) for t in ET.fromstring(f.read("word/document.xml")).iter() if t.tag.endswith("}p")] for f in (files[1], files[2])]
+    assert said[0][2:4] == ["A  00:00", "雨停，了。 ok."] and said[1] == ["Transcript", "length 00:02", "--:--", "x"] and files[1].testzip() is None
     head = spark.createDataFrame([(1, {"title": "Rain", "artist": "Me", "other": "-"})], "doc_id int, metadata map<string,string>")
     lrc = {r["doc_id"]: r["text"] for r in writers.with_header(writers.write_lrc(lines), head).collect()}
     assert lrc[1].startswith("[ti:Rain]\n[ar:Me]\n[by:cuesheet]\n[00:00.00]雨停")
