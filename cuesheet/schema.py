@@ -40,3 +40,20 @@ def from_json(df: DataFrame, col: str = "json") -> DataFrame:
     """Nested documents of their JSON; missing keys become null, kind speech."""
     d = F.from_json(F.col(col), DOCUMENT)
     return df.select("doc_id", d["language"].alias("language"), F.coalesce(d["kind"], F.lit("speech")).alias("kind"), d["metadata"].alias("metadata"), F.coalesce(d["lines"], F.array().cast(T.ArrayType(LINE))).alias("lines"))
+
+
+def duration(start, end):
+    """Seconds of a token or line, 0 where it isn't timed."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.when(start.isNotNull(), end - start)), F.lit(0.0))
+
+
+def timed(start, end):
+    return start.isNotNull() & end.isNotNull()
+
+
+def display_rows(tokens, breaks):
+    """The rows that a line shows: cut after the tokens at ``breaks``, the last token's but not."""
+    n = F.size(tokens)
+    cut = lambda i: F.coalesce(F.array_contains(breaks, i), F.lit(False)) & (i < n - 1)
+    parts = F.transform(tokens, lambda t, i: F.concat(t["text"], F.when(cut(i), "\n").when(t["space_after"] & (i < n - 1), " ").otherwise("")))
+    return F.transform(F.split(F.array_join(parts, ""), "\n"), F.trim)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from cuesheet.catalog import ORACLE, QUERIES
 from cuesheet.functions import style
 from cuesheet.functions.time import parse_ts, ts_ass, ts_lrc, ts_srt
-from cuesheet.operators import cut, rank, timing
+from cuesheet import schema
+from cuesheet.operators import align, cut, rank, timing
 from cuesheet.operators.layout import get_layout
 from cuesheet.operators.speakers import upgma
 from cuesheet.sources import readers, writers
@@ -184,6 +185,24 @@ def test_transcripts(spark):
     assert lrc[1].startswith("[ti:Rain]\n[ar:Me]\n[by:cuesheet]\n[00:00.00]雨停")
 
 
+def test_issues_and_report(spark):
+    ref = spark.createDataFrame([(1, k, w, w, k // 3, k * 1.0, k + 0.5) for k, w in enumerate("we go home to eat rice".split())] + [(2, 0, "a", "a", 0, None, None)], "doc_id int, g_no int, text string, norm string, line_no int, start double, end double")
+    hyp = spark.createDataFrame([(1, k, w, w, 10.0 + k, 10.5 + k) for k, w in enumerate("well we go hume eat rice now".split())] + [(2, 0, "a", "a", 0.0, 1.0)], "doc_id int, g_no int, text string, norm string, start double, end double")
+    ops = align.align_ops(ref, hyp)
+    told = align.issues(ops, ref, hyp)
+    got = [(r["kind"], r["script"], r["heard"], r["start"], r["end"], r["line_no"], r["severity"]) for r in told.orderBy("op_no").collect()]
+    assert got == [("extra", "", "well", 10.0, 10.5, 0, "high"), ("substitution", "hometo", "hume", 13.0, 13.5, 0, "high"), ("extra", "", "now", 16.0, 16.5, 1, "high")]
+    text = {r["doc_id"]: r["text"] for r in align.issue_report(told, align.error_rate(ops, "doc_id")).collect()}
+    assert "66.67%, 3 differences (3 significant)" in text[1] and "! [00:00:13.000] line 1 substitution: script 「hometo」 heard 「hume」" in text[1] and "0.00%, 0 differences" in text[2]
+
+
+def test_lines_as_shown(spark):
+    token = "array<struct<text:string,start:double,end:double,confidence:double,space_after:boolean>>"
+    df = spark.createDataFrame([([("a", 0.0, 1.0, 1.0, True), ("b", 1.0, 2.0, 1.0, True), ("c", 2.0, 3.0, 1.0, False)], [0, 2], 1.0, None), ([], None, 2.0, 1.0)], f"t {token}, b array<int>, start double, end double")
+    got = df.select(schema.display_rows(F.col("t"), F.col("b")).alias("r"), schema.duration(F.col("start"), F.col("end")).alias("d"), schema.timed(F.col("start"), F.col("end")).alias("ok")).collect()
+    assert [tuple(r) for r in got] == [(["a", "b c"], 0.0, False), ([""], 0.0, True)]
+
+
 def test_stamps(spark):
     r = spark.range(1).select(ts_srt(F.lit(3661.0015)).alias("a"), ts_ass(F.lit(-1.0)).alias("b"), ts_lrc(F.lit(6000.0)).alias("c"), parse_ts(F.lit("1:00:01.5")).alias("d"), parse_ts(F.lit("x")).alias("e")).first()
     assert tuple(r) == ("01:01:01,002", "0:00:00.00", "100:00.00", 3601.5, None)
