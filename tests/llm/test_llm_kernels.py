@@ -163,11 +163,15 @@ def test_chi_square_and_search():
 
 
 def test_line_units():
-    text = "One two three four five.\nshort\nSix  seven, eight nine ten"
-    u = line_dedup.units(text, 5)
-    assert [text[a:b] for _, a, b, _ in u] == ["One two three four five.", "Six  seven, eight nine ten"]
-    assert u[1][3] == hashlib.md5(b"six seven eight nine ten").digest()
-    assert line_dedup.cut(text, [(u[0][1], u[0][2])]) == "short\nSix  seven, eight nine ten"
+    import xxhash
+
+    text = "One two three four five.\nshort\nSix  seven, eight nine ten; tail"
+    start, end, digests = line_dedup.units(text, 5)
+    assert [text[a:b] for a, b in zip(start, end)] == ["One two three four five.\n", "short\nSix  seven, eight nine ten;", "Six  seven, eight nine ten;"]
+    assert digests[2] == xxhash.xxh3_128_digest(b"six seven eight nine ten") and len(set(digests)) == 3
+    spans = line_dedup.merged(text, [(int(start[0]), int(end[0])), (5, 9)])
+    assert spans == [(0, 25)] and line_dedup.cut(text, spans) == text[25:] and line_dedup.merged("a b\nc", [(2, 4)]) == [(2, 3)]
+    assert [len(x) for x in line_dedup.units("...", 1)] == [0, 0, 0] and line_dedup.units("", 1)[2] == []
 
 
 def test_html():
