@@ -1,6 +1,5 @@
 """The operators' kernels without Spark."""
 
-import hashlib
 import zlib
 
 import numpy as np
