@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, line_weight, lines_of
+from ..functions.text import line_weight, lines_of, word_count
 
 
 def timed_lines(docs: DataFrame, unit: float = 0.25) -> DataFrame:
     """doc_id, lang, line_no, n_tokens and duration of each line at ``unit`` s a weight."""
     lines = docs.select("doc_id", "lang", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-    n = F.regexp_count("line", F.lit(WORD)).cast("long")
+    n = word_count(F.col("line")).cast("long")
     return lines.select("doc_id", "lang", "line_no", n.alias("n_tokens"), (line_weight(F.col("line")) * unit).alias("duration")).where("n_tokens > 0")
 
 
