@@ -27,15 +27,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bound_batches, table, with_field
+from .common import bound_batches, give_back, table, with_field
 
 NEVER = 1 << 60
 #: Stands for the end of a word in the scan; no byte's symbol.
 END = "\n"
-#: Words whose encoding a worker keeps; beyond it the store starts anew.
-CACHE_WORDS = 400_000
-#: Arcs that the table of a worker keeps.
-TABLE_ARCS = 1_000_000
+#: Words and runs whose encoding a worker keeps while a task runs; beyond it the half that was used last stays.
+CACHE_WORDS = 200_000
+#: Arcs that the table of a worker keeps while a task runs; beyond it the table starts anew.
+TABLE_ARCS = 300_000
 #: What the tokenizer's patterns call white space (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -174,8 +174,9 @@ class Tokenizer:
         self.white = regex.compile(f"{white}+")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split
         self.control = regex.compile("[\x1c-\x1f]").search  # str.split takes these for white space
+        #: Of words and of runs, as a run of one word is that word; ``before`` is the older half.
         self.cache: dict[str, tuple[int, str, str]] = {}
-        self.chunk_cache: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Normalised runs without white space of a text without special tokens."""
@@ -186,28 +187,43 @@ class Tokenizer:
             return [c for c in self.white.split(text) if c]
         return text.split()
 
+    def keep(self, key: str, value: tuple[int, str, str]) -> tuple[int, str, str]:
+        """Store the encoding of a word or run."""
+        if len(self.cache) >= CACHE_WORDS // 2:
+            self.before = self.cache.copy()
+            self.cache.clear()
+        self.cache[key] = value
+        return value
+
+    def forget(self) -> None:
+        """Give back what was kept while a task ran: the worker lives on, beside those of other stages."""
+        self.cache.clear()
+        self.before.clear()
+        self.automaton.known.clear()
+
     def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and labels of a run without white space."""
-        words = [self.word(w) for w in self.find(chunk)]
-        if len(self.chunk_cache) >= CACHE_WORDS:
-            self.chunk_cache.clear()
-        got = self.chunk_cache[chunk] = (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
-        return got
+        """Number of tokens, ids and labels of a run without white space that ``cache`` doesn't hold."""
+        got = self.before.get(chunk)
+        if got is None:
+            found = self.find(chunk)
+            if len(found) == 1:
+                return self.word(found[0])
+            words = [self.cache.get(w) or self.word(w) for w in found]
+            got = (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
+        return self.keep(chunk, got)
 
     def word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and labels of one word."""
-        got = self.cache.get(word)
+        """Number of tokens, ids and labels of one word that ``cache`` doesn't hold."""
+        got = self.before.get(word)
         if got is None:
             ids = self.automaton.encode(word if word.isalnum() and word.isascii() else "".join([self.bytes[b] for b in word.encode("utf-8")]))
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]))
-        return got
+            got = (len(ids), " ".join(map(str, ids)), " ".join([self.labels[i] for i in ids]))
+        return self.keep(word, got)
 
     def pieces(self, text: str) -> list[tuple[int, str, str]]:
         """Of each run and special token, in order: number of tokens, ids, labels."""
         out = []
-        chunk, cache = self.chunk, self.chunk_cache
+        chunk, cache = self.chunk, self.cache
         for part in self.cut(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append((1, str(self.special[part]), part))
@@ -248,6 +264,8 @@ def _encode(path: str, lists: bool):
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
+        tok.forget()
+        give_back()
 
     return run
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +26,19 @@ def test_bpe_as_library(text):
     assert tok.decode(want) == LIB.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_worker_keeps_nothing_after_a_task(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 6)
+    tok = bpe.tokenizer(bpe.word_vocabulary())
+    texts = ["one two, three: it's", "two 2two three-four one", "five six seven eight nine ten one two it's", None] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run, held = bpe._encode(bpe.word_vocabulary(), True)(iter([batch])), []
+    for out in run:
+        held.append(len(tok.cache) + len(tok.before))
+        assert out.column("ids").to_pylist() == [LIB.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 0 < held[0] <= 6
+    assert not tok.cache and not tok.before and not tok.automaton.known
+
+
 @pytest.mark.parametrize("text", ["", " ", "hi<|endoftext|>there", "aaaaaaaaaaaaaaaa", "ΑΣ σΣ", "\x1ca\x85b", "it's we'll 2026", "mississippi" * 40])
 def test_bpe_cases(text):
     assert bpe.tokenizer(bpe.word_vocabulary()).encode(text) == LIB.encode(text, add_special_tokens=False).ids
