@@ -39,8 +39,18 @@ TABLE_ARCS = 300_000
 #: What the tokenizer's patterns call white space (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Letters of the Unicode version that the tokenizer's patterns know; later blocks are none.
-LETTER = "[\\p{L}--[\\U000323B0-\\U0010FFFF]]"
+#: Letters and numbers of Unicode versions after the one that the tokenizer's patterns know; there they are none.
+LATER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
+    "10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 "
+    "16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
+    "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-10FFFF"
+)
+LATER = "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in LATER.split())
+#: Capitals that the tokenizer lower-cases and Python's Unicode version may not know.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 
 
 class Automaton:
@@ -170,7 +180,11 @@ class Tokenizer:
         self.bytes = byte_symbols()
         white = f"[{WHITE}]"
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.find = regex.compile(split.replace("\\s", WHITE).replace("\\p{L}", LETTER), regex.V1).findall
+        split = split.replace("\\s", WHITE)
+        self.split = regex.compile(split, regex.V1).findall
+        self.later = regex.compile(f"[{LATER}]").search
+        self.split_later = regex.compile(split.replace("\\p{L}", f"[\\p{{L}}--[{LATER}]]").replace("\\p{N}", f"[\\p{{N}}--[{LATER}]]"), regex.V1).findall
+        self.capital = regex.compile(f"[{''.join(map(chr, CAPITALS))}]").search
         self.white = regex.compile(f"{white}+")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split
         self.control = regex.compile("[\x1c-\x1f]").search  # str.split takes these for white space
@@ -182,11 +196,17 @@ class Tokenizer:
         """Normalised runs without white space of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.capital(text):
+                text = text.translate(CAPITALS)
         text = text.lower()
         if self.control(text):
             return [c for c in self.white.split(text) if c]
         return text.split()
 
+    def find(self, chunk: str) -> list[str]:
+        """Words of a run without white space."""
+        return self.split(chunk) if chunk.isascii() or not self.later(chunk) else self.split_later(chunk)
+
     def keep(self, key: str, value: tuple[int, str, str]) -> tuple[int, str, str]:
         """Store the encoding of a word or run."""
         if len(self.cache) >= CACHE_WORDS // 2:

@@ -26,6 +26,14 @@ def test_bpe_as_library(text):
     assert tok.decode(want) == LIB.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("first", [0, 0x8000, 0x10000, 0x18000, 0x20000, 0x28000, 0x30000, 0x38000, 0xE0000])
+def test_bpe_of_every_letter(first):
+    tok = bpe.tokenizer(bpe.word_vocabulary())
+    texts = [s + chr(c) for c in range(first, first + 0x8000) if not 0xD800 <= c < 0xE000 for s in ":a"]
+    for text, want in zip(texts, LIB.encode_batch(texts, add_special_tokens=False)):
+        assert tok.encode(text) == want.ids, ascii(text)
+
+
 def test_bpe_worker_keeps_nothing_after_a_task(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 6)
     tok = bpe.tokenizer(bpe.word_vocabulary())
