@@ -283,27 +283,27 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(nodes: DataFrame, blocks) -> DataFrame:
-    """Rows (node, cls) of a task for each two of a node's ``blocks``, two at least; rows (node, cls, ...)."""
+def _block_pairs(nodes: DataFrame, blocks, *more: str) -> DataFrame:
+    """Rows (node, cls, *more) of a task for each two of a node's ``blocks``, two at least; rows (node, cls, *more, ...)."""
     n = F.greatest(F.lit(2), F.ceil(blocks)).cast("int")
-    dealt = nodes.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("own <> other")
-    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls")
+    dealt = nodes.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cls", *more)
 
 
 def _crowd_blocks(nodes: DataFrame) -> DataFrame:
-    """Rows (node, cls) of a task for each block of a crowd's component, with all outsiders in each.
+    """Rows (node, cls, comp) of a task for each block of a crowd's component, with all outsiders in each.
 
-    Rows (node, cls, m, inside) of crowds: of m sets at most about 2 * ``LEAF`` are not inside.
+    Rows (node, cls, comp, m, inside) of crowds: of m sets at most about 2 * ``LEAF`` are not inside.
     """
     n = F.ceil(F.col("m") / (4 * LEAF)).cast("int")
     own = F.array(F.pmod(F.xxhash64("cls", "node"), n).cast("int"))
     dealt = nodes.withColumn("block", F.explode(F.when(F.col("inside"), own).otherwise(F.sequence(F.lit(0), n - 1))))
-    return dealt.select(F.xxhash64("node", "block").alias("node"), "cls")
+    return dealt.select(F.xxhash64("node", "block").alias("node"), "cls", "comp")
 
 
 def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
-    """Leaves of all trees: rows (node, cls) of ``sigs`` (cls, sig, comp)."""
+    """Leaves of all trees: rows (node, cls, comp) of ``sigs`` (cls, sig, comp)."""
     at = lambda key, k: F.pmod(F.xxhash64(key, F.lit(seed + k)), F.lit(POSITIONS)).cast("int") + 1
 
     def children(df: DataFrame, level: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
         small = F.col("m") <= LEAF
         crowd = ~small & (F.col("m") * F.col("m") - F.col("alike") <= 2 * LEAF * F.col("m"))
         last = ~small & ~crowd & (F.lit(level == LEVELS) | (F.lit(level >= FEW) & (F.col("m") <= WHOLE)))
-        leaf = sized.where(small).select("node", "cls").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last), F.col("m") / BLOCK))
+        leaf = sized.where(small).select("node", "cls", "comp").unionByName(_crowd_blocks(sized.where(crowd))).unionByName(_block_pairs(sized.where(last), F.col("m") / BLOCK, "comp"))
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         large = sized.where(~small & ~crowd & ~last)
         if large.isEmpty():
@@ -329,17 +329,24 @@ def _trees(sigs: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
     return leaves
 
 
-def _chain(batches):
-    """Pairs of neighbours with one key among rows sorted by key."""
-    key, cls = None, None
-    for batch in batches:
-        left, right = [], []
-        for k, c in zip(batch.column("key").to_pylist(), batch.column("cls").to_pylist()):
-            if k == key and c != cls:
-                left.append(min(c, cls))
-                right.append(max(c, cls))
-            key, cls = k, c
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+def _chain(floor: float, ratio: float):
+    """Pairs of neighbours with one key, among rows sorted by key, whose sketches and sizes may be similar enough."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            if not t.num_rows:
+                continue
+            last = t.slice(t.num_rows - 1).to_batches()[0]
+            key, n, cls = t.column("key").to_numpy(), t.column("n").to_numpy().astype(np.float64), t.column("cls").to_pylist()
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, POSITIONS)
+            at = np.flatnonzero((key[1:] == key[:-1]) & (np.minimum(n[1:], n[:-1]) >= ratio * np.maximum(n[1:], n[:-1]) - 1e-9))
+            at = at[(sketch[at] == sketch[at + 1]).mean(axis=1) >= floor]
+            pairs = [sorted(cls[k : k + 2]) for k in at.tolist() if cls[k] != cls[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+    return run
 
 
 def _backbone(sigs: DataFrame, floor: float, ratio: float) -> DataFrame:
@@ -348,20 +355,9 @@ def _backbone(sigs: DataFrame, floor: float, ratio: float) -> DataFrame:
     A heuristic: what it finds is confirmed and spares the trees work, what it misses they find.
     """
     keys = [F.xxhash64(F.lit(k), F.slice("sig", 1 + k * RUN, RUN)) for k in range(RUNS)]
-    rows = sigs.select("cls", F.explode(F.array(*keys)).alias("key")).withColumn("turn", F.xxhash64("key", "cls"))
-    pairs = rows.repartitionByRange("key", "turn").sortWithinPartitions("key", "turn").select("key", "cls").mapInArrow(_chain, "a binary, b binary").distinct()
-    side = lambda x: sigs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(ratio) - 1e-9)
-    return both.select("a", "b", "sa", "sb").mapInArrow(_agree(floor), "a binary, b binary")
-
-
-def _agree(floor: float):
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
-
-    return run
+    rows = sigs.select("cls", "n", "sketch", F.explode(F.array(*keys)).alias("key")).withColumn("turn", F.xxhash64("key", "cls"))
+    rows = rows.repartitionByRange("key", "turn").sortWithinPartitions("key", "turn").select("key", "cls", "n", "sketch")
+    return rows.mapInArrow(_chain(floor, ratio), "a binary, b binary").distinct()
 
 
 def _union(batches):
@@ -448,19 +444,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
 
     def again(nodes: DataFrame, comps: DataFrame) -> DataFrame:
         """Links (a, b) of the leaves ``nodes`` (node) between components that are still apart."""
-        rows = leaves.join(nodes, "node", "left_semi").join(least.join(comps, "cls"), "cls")
+        rows = leaves.select("node", "cls").join(nodes, "node", "left_semi").join(least.join(comps, "cls"), "cls")
         live = rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("total")).where("low <> high").select("node", "total")
         rows = scratch.keep(rows.join(live, "node"))
         small = F.col("total") <= SHINGLES
-        split = _block_pairs(rows.where(~small).select("node", "cls", "total"), F.col("total") / (SHINGLES // 2)).join(least.join(comps, "cls"), "cls")
-        rows = rows.where(small).select("node", "cls", "n", "sketch", "comp").unionByName(split.select("node", "cls", "n", "sketch", "comp"))
+        rows = rows.where(small).select("node", "cls", "n", "sketch", "comp").unionByName(_block_pairs(rows.where(~small), F.col("total") / (SHINGLES // 2), "n", "sketch", "comp"))
         sets = full_sets(rows.select("cls").distinct())
         return scratch.keep(by_node(rows.join(sets, "cls"), "members").mapInArrow(_linked(floor, ratio, percent), "a binary, b binary").distinct())
 
-    def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
-        """(cls, comp) after ``links`` (a, b): components of components."""
+    def joined(comps: DataFrame, links: DataFrame, first: bool = False) -> DataFrame:
+        """(cls, comp) after ``links`` (a, b): components of components; at the ``first``, of classes, from a kept table."""
         of = lambda x: comps.select(F.col("cls").alias(x), F.col("comp").alias(f"of_{x}"))
-        edges = scratch.keep(links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+        edges = links if first else scratch.keep(links.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
         if edges.isEmpty():
             return comps
         reach = components(edges, scratch)
@@ -468,9 +463,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
 
     comps = sigs.select("cls", F.col("cls").alias("comp"))
     checked = confirmed(scratch.keep(_backbone(sigs, floor, ratio)))
-    comps = joined(comps, checked.where("linked"))
+    comps = joined(comps, checked.where("linked").select("a", "b"), first=True)
     leaves = _trees(sigs.select("cls", "sig").join(comps, "cls"), scratch, seed)
-    found = scratch.keep(by_node(leaves.join(least.join(comps, "cls"), "cls")).mapInArrow(_compare(floor, ratio), "dense long, a binary, b binary"))
+    found = scratch.keep(by_node(leaves.join(least, "cls")).mapInArrow(_compare(floor, ratio), "dense long, a binary, b binary"))
     more = scratch.keep(found.where("a is not null").select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comps = joined(comps, confirmed(more).where("linked"))
@@ -479,7 +474,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, seed: in
         comps = joined(comps, again(dense, comps))
     lowest = scratch.keep(sigs.select("cls", "doc_id").join(comps.withColumnRenamed("comp", "root"), "cls"))
     of_root = lowest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.keep(lowest.join(of_root, "root").select("cls", "component_id", F.col("root").alias("class_id")))
+    named = lowest.join(of_root, "root").select("cls", "component_id", F.col("root").alias("class_id"))
     out = scratch.keep(rows.join(named, "cls", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.hex("class_id").alias("class_id")))
     scratch.drop(but=1)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id", "row_key")

@@ -179,6 +179,19 @@ def test_near_dedup_meets_templated_pairs(spark):
     assert len(pairs) >= 1500 and [p for p in pairs if not together(*p)] == []
 
 
+def test_near_dedup_runs_few_stages(spark):
+    """Each exchange of a small table costs all its tasks: a crowd's run is held to the number of jobs that it needs."""
+    rng = np.random.RandomState(4)
+    texts = [" ".join(f"x{rng.randint(1000)}" if rng.rand() < 0.03 else f"w{i}" for i in range(60)) for _ in range(520)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "near")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, width=4).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert [got[i] for i in range(len(texts))] == brute(texts, 4, 80)
+    assert jobs <= 90
+
+
 def test_near_dedup_compares_all_of_a_terminal_node(spark, monkeypatch):
     """Linked pairs in a crowd that no level splits and whose sets are else under 0.8."""
     monkeypatch.setattr(near_dedup, "LEVELS", 1)
