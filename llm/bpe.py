@@ -33,7 +33,7 @@ NEVER = 1 << 60
 #: Stands for the end of a word in the scan; no byte's symbol.
 END = "\n"
 #: Words and runs whose encoding a worker keeps while a task runs; beyond it the half that was used last stays.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 #: Arcs that the table of a worker keeps while a task runs; beyond it the table starts anew.
 TABLE_ARCS = 300_000
 #: What the tokenizer's patterns call white space (Unicode White_Space).

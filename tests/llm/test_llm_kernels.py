@@ -47,6 +47,19 @@ def test_bpe_worker_keeps_nothing_after_a_task(monkeypatch):
     assert not tok.cache and not tok.before and not tok.automaton.known
 
 
+def test_bpe_worker_encodes_a_task_s_words_once(monkeypatch):
+    """A quarter of a million words, said again: as many as a task of some thousand documents has."""
+    tok = bpe.tokenizer(bpe.word_vocabulary())
+    tok.forget()
+    called = []
+    monkeypatch.setattr(tok.automaton, "encode", lambda word: called.append(word) or [25])
+    texts = [" ".join(f"{a}{b}{c}{d}x{k}" for a in "abcde" for b in "abcde" for c in "abcdefgh" for d in "abcde").translate(str.maketrans("0123456789", "qrstuvwyzp")) for k in range(250)]
+    for text in texts * 2:
+        tok.pieces(text)
+    tok.forget()
+    assert len(called) == len(set(called)) == 250_000
+
+
 @pytest.mark.parametrize("text", ["", " ", "hi<|endoftext|>there", "aaaaaaaaaaaaaaaa", "ΑΣ σΣ", "\x1ca\x85b", "it's we'll 2026", "mississippi" * 40])
 def test_bpe_cases(text):
     assert bpe.tokenizer(bpe.word_vocabulary()).encode(text) == LIB.encode(text, add_special_tokens=False).ids
